@@ -33,9 +33,13 @@ def dot(a: Column, b: Column) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
+def _components(view: dict[str, Column], x: Column, y: Column) -> list[Column]:
+    return [view["origin"][i] + (2 * x - 1) * view["right"][i] + (2 * y - 1) * view["down"][i] for i in range(3)]
+
+
 def ray(view: dict[str, Column], x: Column, y: Column) -> Column:
     """The ray through a point (0 to 1) of a view."""
-    return F.array(*[view["origin"][i] + (2 * x - 1) * view["right"][i] + (2 * y - 1) * view["down"][i] for i in range(3)])
+    return F.array(*_components(view, x, y))
 
 
 def ray_to_uv(r: Column) -> tuple[Column, Column]:
@@ -66,28 +70,28 @@ def camera_ok(origin: Column, right: Column, down: Column, aspect: Column) -> Co
 PERIMETER = [(x, y) for x in (0, 0.5, 1) for y in (0, 0.5, 1) if (x, y) != (0.5, 0.5)]
 
 
-def reprojected(df: DataFrame, box, source: dict[str, Column], target: dict[str, Column], out: str = "seen") -> DataFrame:
-    """``df`` and a corner box (four columns) of one view as seen in another: an array, null if part of it lies behind.
+def reprojected(df: DataFrame, keys: list[str], box, source: dict[str, Column], target: dict[str, Column], out: str = "seen") -> DataFrame:
+    """A corner box (four columns) of one view as seen in another: an array in ``out``, null if part of it lies behind.
 
-    The rays are worked out in a step of their own (a one-element explode, which no projection is merged across), so the
-    plan holds each of them once and all of it is generated code.
+    Rows are told apart by ``keys``, the only other columns that stay. Each row becomes its eight perimeter points and
+    the bounds are an aggregation over them, which combines where the rows are: small generated code, no lambdas.
     """
-    rays, small = [], [F.lit(0.0), F.lit(1.0)]
-    for i, (wx, wy) in enumerate(PERIMETER):
-        r = ray(source, box[0] + (box[2] - box[0]) * wx, box[1] + (box[3] - box[1]) * wy)
-        rays += [r[k].alias(f"r{i}{k}") for k in range(3)]
-    x = df.withColumn("_r", F.explode(F.array(F.struct(*rays))))
-    depths, xs, ys = [], [], []
-    for i in range(len(PERIMETER)):
-        r = [F.col(f"_r.r{i}{k}") for k in range(3)]
-        along = lambda axis, r=r: r[0] * axis[0] + r[1] * axis[1] + r[2] * axis[2]
-        depth = along(target["origin"])
-        place = lambda axis, depth=depth, along=along: ((along(axis) / depth - dot(target["origin"], axis)) / dot(axis, axis) + 1) / 2
-        depths.append(depth)
-        xs.append(F.when(depth > MIN_DEPTH, place(target["right"])))
-        ys.append(F.when(depth > MIN_DEPTH, place(target["down"])))
-    inside = F.array(F.greatest(small[0], F.least(*xs)), F.greatest(small[0], F.least(*ys)), F.least(small[1], F.greatest(*xs)), F.least(small[1], F.greatest(*ys)))
-    return x.withColumn(out, F.explode(F.array(F.when(F.least(*depths) > MIN_DEPTH, inside)))).drop("_r")
+    spots = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in PERIMETER]))
+    axes = [source[k].alias(f"_s{k}") for k in ("origin", "right", "down")] + [target[k].alias(f"_t{k}") for k in ("origin", "right", "down")]
+    x = df.select(*keys, *[c.alias(f"_b{i}") for i, c in enumerate(box)], *axes, spots.alias("_p"))
+    px, py = F.col("_b0") + (F.col("_b2") - F.col("_b0")) * F.col("_p.x"), F.col("_b1") + (F.col("_b3") - F.col("_b1")) * F.col("_p.y")
+    r = F.explode(F.array(F.struct(*[e.alias(f"r{i}") for i, e in enumerate(_components({k: F.col(f"_s{k}") for k in ("origin", "right", "down")}, px, py))])))
+    x = x.select(*keys, *[f"_t{k}" for k in ("origin", "right", "down")], r.alias("_r"))
+    along = lambda axis: sum((F.col(f"_r.r{i}") * axis[i] for i in range(1, 3)), F.col("_r.r0") * axis[0])
+    o = F.col("_torigin")
+    place = lambda axis: ((along(axis) / F.col("_depth") - dot(o, axis)) / dot(axis, axis) + 1) / 2
+    x = x.withColumn("_depth", along(o))
+    ok = F.col("_depth") > MIN_DEPTH
+    x = x.select(*keys, "_depth", F.when(ok, place(F.col("_tright"))).alias("_x"), F.when(ok, place(F.col("_tdown"))).alias("_y"))
+    g = x.groupBy(*keys).agg(*[f("_" + c).alias(f"_{c}{n}") for c in "xy" for n, f in (("0", F.min), ("1", F.max))], F.min("_depth").alias("_d"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    inside = F.array(F.greatest(zero, F.col("_x0")), F.greatest(zero, F.col("_y0")), F.least(one, F.col("_x1")), F.least(one, F.col("_y1")))
+    return g.select(*keys, F.when(F.col("_d") > MIN_DEPTH, inside).alias(out))
 
 
 def rotate(lat_deg: float, lng_deg: float) -> tuple[float, float, float]:

@@ -69,7 +69,7 @@ def cross_view_nms(df: DataFrame, by: str = "image_id") -> DataFrame:
     x = x.select(F.col(by), F.col("k.id").alias("kept"), F.col("c.id").alias("id"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2")], *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")],
                  *[F.col(f"{n}.{k}").alias(f"{n}_{k}") for n in ("vk", "vc") for k in ("origin", "right", "down")])
     axes = lambda n: {k: F.col(f"{n}_{k}") for k in ("origin", "right", "down")}
-    x = reprojected(x, [F.col(f"k_{c}") for c in ("x1", "y1", "x2", "y2")], axes("vk"), axes("vc"))
+    x = reprojected(x, [by, "kept", "id", *[f"c_{c}" for c in ("x1", "y1", "x2", "y2")]], [F.col(f"k_{c}") for c in ("x1", "y1", "x2", "y2")], axes("vk"), axes("vc"))
     over = iou([F.col("seen")[i] for i in range(4)], [F.col(f"c_{c}") for c in ("x1", "y1", "x2", "y2")])
     can = x.where(F.col("seen").isNotNull() & (over >= CROSS_VIEW_IOU)).groupBy(by, "id").agg(F.collect_set("kept").alias("rivals"))
     full = df.join(can, [by, "id"], "left")

@@ -122,7 +122,7 @@ def reproject_box(spark, d):
     t = v.select(F.col("view_id").alias("target"), F.struct("origin", "right", "down").alias("t"))
     x = detections(spark, d).join(F.broadcast(s), "view_id").join(F.broadcast(t), F.col("view_id") != F.col("target"))  # six rows
     axes = lambda n: {k: F.col(n)[k] for k in ("origin", "right", "down")}
-    x = sphere.reprojected(x, [F.col(c) for c in ("x1", "y1", "x2", "y2")], axes("s"), axes("t"), "b").where("b is not null")
+    x = sphere.reprojected(x, ["id", "target"], [F.col(c) for c in ("x1", "y1", "x2", "y2")], axes("s"), axes("t"), "b").where("b is not null")
     return x.select("id", "target", *[F.floor(F.col("b")[i] * 1e6 + 0.5).cast("long").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
