@@ -60,10 +60,10 @@ _ASCII_WORDS = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isal
 def _letters(m: re.Match) -> str:
     """Digits and signs as the letters they stand for, if they are part of a word."""
     text, a, b = m.string, m.start(), m.end()
-    before, after = text[max(0, a - 2) : a], text[b : b + 2]
+    before, after = text[max(0, a - 2) : a], text[b : b + 8].split(maxsplit=1)[0] if text[b : b + 1].isalpha() else ""
     inside = before[-1:].isalpha() and after[:1].isalpha()
-    first = b - a == 1 and not before[-1:].isalnum() and len(after) == 2 and after.isalpha()
-    last = b - a == 1 and m[0].isdigit() and not after[:1].isalnum() and len(before) == 2 and before.isalpha()
+    first = b - a == 1 and not before[-1:].isalnum() and sum(map(str.isalpha, after)) >= 2
+    last = b - a == 1 and m[0].isdigit() and not text[b : b + 1].isalnum() and len(before) == 2 and before.isalpha()
     return m[0].translate(_INSIDE) if inside or first or last else m[0]
 
 
