@@ -16,7 +16,7 @@ def in_bounds(lat: Column, lng: Column) -> Column:
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a, b = F.sin((F.radians(lat2) - F.radians(lat1)) / 2), F.sin((F.radians(lng2) - F.radians(lng1)) / 2)
     h = a * a + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * (b * b)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # null stays null
 
 
 def haversine_rounded(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -5,8 +5,6 @@ Undefined measures are null, never 0 or 1; times are epoch seconds or millisecon
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Fixed values of the domain.
 WEST, SOUTH, EAST, NORTH = 73.70, 18.40, 74.05, 18.70
 GRID_STEP = 0.0045
@@ -25,36 +23,30 @@ VIEWS = ("front", "right", "back", "left", "up", "down")
 METRES_PER_DEGREE = 111_320.0
 MAX_CLUSTER_INPUT = 2000
 
-BOX = T.ArrayType(T.DoubleType())
-
-
-def struct(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
-DETECTIONS = struct(
+# Schemas as DDL: readers and createDataFrame take them as they are, and no session is needed to import this.
+DETECTIONS = (
     "id string, image_id string, lat double, lng double, label string, confidence double, waste_area_pct double, severity string, "
     "box array<double>, model_used string, detected_at bigint, view_id string"
 )
-HOTSPOTS = struct(
+HOTSPOTS = (
     "id string, lat double, lng double, radius_m double, priority string, score double, detection_count bigint, last_seen bigint, "
     "first_seen bigint, avg_confidence double, description string"
 )
-GRIDS = struct("id string, lat_min double, lat_max double, lng_min double, lng_max double, detection_count bigint, scanned boolean, last_scanned bigint")
-SCAN_JOBS = struct("id string, status string, area_name string, total_images bigint, processed bigint, detections_found bigint, started_at bigint, completed_at bigint")
-PANORAMAS = struct("id string, lat double, lng double, captured_at bigint, creator string, is_pano boolean, thumbnail string, sequence string")
-REVIEW = struct("status string, boxes array<array<double>>, reviewer string, notes string, revision bigint, sha256 string, reviewed_at timestamp")
-REVIEW_QUEUE = struct("image_id bigint, file_name string, split string, `group` string, reasons string, status string, annotation_complete string, tags string, notes string")
-COCO = struct(
+GRIDS = ("id string, lat_min double, lat_max double, lng_min double, lng_max double, detection_count bigint, scanned boolean, last_scanned bigint")
+SCAN_JOBS = ("id string, status string, area_name string, total_images bigint, processed bigint, detections_found bigint, started_at bigint, completed_at bigint")
+PANORAMAS = ("id string, lat double, lng double, captured_at bigint, creator string, is_pano boolean, thumbnail string, sequence string")
+REVIEW = ("status string, boxes array<array<double>>, reviewer string, notes string, revision bigint, sha256 string, reviewed_at timestamp")
+REVIEW_QUEUE = ("image_id bigint, file_name string, split string, `group` string, reasons string, status string, annotation_complete string, tags string, notes string")
+COCO = (
     "images array<struct<id:bigint,file_name:string,width:int,height:int,license:int,flickr_url:string>>, "
     "annotations array<struct<id:bigint,image_id:bigint,bbox:array<double>>>, licenses array<struct<id:int,name:string,url:string>>"
 )
-EVALUATION = struct(
+EVALUATION = (
     "image string, tp bigint, fp bigint, fn bigint, latency_ms double, predictions array<struct<box:array<double>,confidence:double>>, "
     "truths array<struct<box:array<double>,short_side_px:double,size_bucket:string>>, matches array<struct<prediction:int,truth:int,iou:double>>"
 )
 
 
-def empty(spark, schema: T.StructType):
+def empty(spark, schema: str):
     """A table without rows, as after a fresh start."""
     return spark.createDataFrame([], schema)

@@ -34,8 +34,8 @@ def label_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, boxes): every label file, and its boxes as corners. An empty file is a clean image; only a missing one is
     unknown, so the files are a table of their own. A class other than 0 is an error."""
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1))
-    # empty files give no row: the listing comes from the file source
-    names = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("file"), F.col("length").alias("bytes"))
+    # Spark reads no rows from empty files; the file index, which the driver holds anyway, lists them
+    names = spark.createDataFrame([(f,) for f in raw.inputFiles()], "path string").select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("file"))
     line = raw.select("file", F.posexplode(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")).alias("idx", "line"))
     p = F.split(F.trim("line"), r"\s+")
     v = line.select("file", F.col("idx").cast("long").alias("idx"), F.when(p[0] != "0", F.raise_error(F.concat(F.lit("class other than 0 in "), "file"))).otherwise(p).alias("p"))
