@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,23 +37,27 @@ def is_cut(x1, y1, x2, y2, left, top, right, bottom, width, height) -> Column:
 
 
 
-def _sql_iou(a: str, b: str) -> tuple[str, str]:
-    inter = f"greatest(0D, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0D, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
-    area = lambda v: f"(greatest(0D, {v}.x2 - {v}.x1) * greatest(0D, {v}.y2 - {v}.y1))"
-    union = f"({area(a)} + {area(b)} - {inter})"
-    small = f"least({area(a)}, {area(b)})"
-    return f"(case when {union} > 0 then {inter} / {union} else 0D end)", f"(case when {small} > 0 then {inter} / {small} else 0D end)"
-
-
 def tile_nms(df: DataFrame, by: list[str]) -> DataFrame:
     """Greedy suppression inside each group: uncut boxes first, then by falling confidence (then id); a box goes if it
     overlaps a kept one by half, or if four fifths of the smaller of the two are common."""
-    one = F.struct(F.col("cut").cast("int").alias("cut"), (-F.col("confidence")).alias("o"), "id", "x1", "y1", "x2", "y2")
-    x = df.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("bs"))
-    i, c = _sql_iou("k", "b")
-    fold = f"aggregate(slice(bs, 2, size(bs)), slice(bs, 1, 1), (acc, b) -> case when exists(acc, k -> {i} >= {TILE_IOU}D or {c} >= {TILE_COVER}D) then acc else concat(acc, array(b)) end)"
-    x = x.select(*by, F.expr(f"inline({fold})"))
-    return x.select(*by, "id", (-F.col("o")).alias("confidence"), (F.col("cut") == 1).alias("cut"), "x1", "y1", "x2", "y2")
+
+    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["cut", "confidence", "id"], ascending=[True, False, True])
+        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
+        free, keep = np.ones(len(b), bool), []
+        for i in range(len(b)):
+            if not free[i]:
+                continue
+            keep.append(i)
+            r = b[i + 1 :]  # what comes later and is too close goes
+            inter = np.maximum(0, np.minimum(r[:, 2], b[i, 2]) - np.maximum(r[:, 0], b[i, 0])) * np.maximum(0, np.minimum(r[:, 3], b[i, 3]) - np.maximum(r[:, 1], b[i, 1]))
+            union, small = area[i + 1 :] + area[i] - inter, np.minimum(area[i + 1 :], area[i])
+            free[i + 1 :] &= ~((union > 0) & (inter / np.where(union > 0, union, 1) >= TILE_IOU) | (small > 0) & (inter / np.where(small > 0, small, 1) >= TILE_COVER))
+        return pdf.iloc[keep]
+
+    x = df.select(*by, "id", "confidence", "cut", "x1", "y1", "x2", "y2")
+    return x.groupBy(*by).applyInPandas(suppress, x.schema)
 
 
 def cross_view_nms(df: DataFrame, by: str = "image_id") -> DataFrame:

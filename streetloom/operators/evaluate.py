@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
@@ -11,6 +13,9 @@ from ..schema import MATCH_IOU, PARITY_IOU, PARITY_PX, SIZE_BUCKETS
 
 
 
+MATCHES = "image string, prediction long, truth long, iou double"
+
+
 def pairs(preds: DataFrame, truths: DataFrame, least: float = 0.0) -> DataFrame:
     """All (prediction, truth) pairs of an image that overlap by more than ``least``."""
     t = truths.select("image", F.col("idx").alias("truth"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -24,19 +29,35 @@ def match(preds: DataFrame, truths: DataFrame, threshold: float = MATCH_IOU) ->
     """(image, prediction, truth, iou): predictions by falling confidence (then index) each claim the free truth with
     the largest overlap (then the lowest index), if it reaches the threshold.
 
-    Only pairs that reach the threshold can ever match, so the fold over an image sees nothing else: a free truth with
+    Only pairs that reach the threshold can ever match, so the ordered pass over an image sees nothing else: a free truth with
     the largest overlap is below the threshold exactly if none at or above it is free.
     """
     near = pairs(preds, truths).where(F.col("iou") >= threshold)
-    per_pred = near.groupBy("image", "prediction", "confidence").agg(F.collect_list(F.struct(F.col("iou"), (-F.col("truth")).alias("k"))).alias("c"))
-    per_image = per_pred.groupBy("image").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "prediction", "c"))).alias("ps"))
-    fold = """
-      aggregate(ps, cast(array() as array<struct<prediction:bigint,truth:bigint,iou:double>>), (acc, p) ->
-        case when size(filter(p.c, c -> not exists(acc, a -> a.truth = -c.k))) = 0 then acc else
-          concat(acc, array(named_struct('prediction', p.prediction,
-            'truth', -array_max(filter(p.c, c -> not exists(acc, a -> a.truth = -c.k))).k,
-            'iou', array_max(filter(p.c, c -> not exists(acc, a -> a.truth = -c.k))).iou))) end)"""
-    return per_image.select("image", F.expr(f"inline({fold})"))
+    return near.select("image", "prediction", "confidence", "truth", "iou").groupBy("image").applyInPandas(_claim, MATCHES)
+
+
+def _claim(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One image: predictions in order, each with the first free truth of its candidates."""
+    pdf = pdf.sort_values(["confidence", "prediction", "iou", "truth"], ascending=[False, True, False, True])
+    used, served, keep = set(), set(), []
+    for i, (p, t) in enumerate(zip(pdf["prediction"], pdf["truth"])):
+        if p not in served and t not in used:
+            served.add(p)
+            used.add(t)
+            keep.append(i)
+    return pdf.iloc[keep][["image", "prediction", "truth", "iou"]]
+
+
+def _pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One image: pairs by falling overlap, then falling indexes, each side once."""
+    pdf = pdf.sort_values(["iou", "prediction", "truth"], ascending=False)
+    left, right, keep = set(), set(), []
+    for i, (p, t) in enumerate(zip(pdf["prediction"], pdf["truth"])):
+        if p not in left and t not in right:
+            left.add(p)
+            right.add(t)
+            keep.append(i)
+    return pdf.iloc[keep][["image", "prediction", "truth", "iou"]]
 
 
 def match_by_overlap(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -44,17 +65,17 @@ def match_by_overlap(left: DataFrame, right: DataFrame, threshold: float | None
 
     Without a threshold pairs that do not overlap match too, as parity wants it.
     """
-    t = right.select("image", F.col("idx").alias("truth"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
-    a, b = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2")]
-    x = left.withColumnRenamed("idx", "prediction").join(t, "image").withColumn("iou", iou(a, b))
+    near = pairs(left, right).where(F.col("iou") >= (threshold or 0.0)).select("image", "prediction", "truth", "iou")
+    found = near.groupBy("image").applyInPandas(_pair_up, MATCHES)
     if threshold is not None:
-        x = x.where(F.col("iou") >= threshold)
-    ordered = x.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("iou", "prediction", "truth")), asc=False).alias("ps"))
-    fold = """
-      aggregate(ps, cast(array() as array<struct<prediction:bigint,truth:bigint,iou:double>>), (acc, p) ->
-        case when exists(acc, a -> a.prediction = p.prediction or a.truth = p.truth) then acc
-        else concat(acc, array(named_struct('prediction', p.prediction, 'truth', p.truth, 'iou', p.iou))) end)"""
-    return ordered.select("image", F.expr(f"inline({fold})"))
+        return found
+    # pairs that do not overlap all tie at 0: by falling indexes the largest free ones go together, then the next
+    def free(df, name):  # noqa: ANN001, ANN202
+        rest = df.select("image", F.col("idx").alias(name)).join(found.select("image", name), ["image", name], "left_anti")
+        return rest.withColumn("k", F.row_number().over(W.partitionBy("image").orderBy(F.desc(name))))
+
+    rest = free(left, "prediction").join(free(right, "truth"), ["image", "k"]).select("image", "prediction", "truth", F.lit(0.0).alias("iou"))
+    return found.unionByName(rest)
 
 
 def records(images: DataFrame, preds: DataFrame, truths: DataFrame, matches: DataFrame) -> DataFrame:

@@ -31,21 +31,29 @@ def grid(spark: SparkSession, base: int = 1) -> DataFrame:
     )
 
 
-def attribute(points: DataFrame, cells: DataFrame) -> DataFrame:
+def attribute(points: DataFrame, base: int = 1) -> DataFrame:
     """``points`` and the cell that holds each: the lowest of those whose inclusive bounds hold it; null outside.
 
-    The floor of the coordinates gives the row and column but for rounding at edges, so a point is joined by equality
-    with that cell and its neighbours to the south and west, and the bounds decide: no range join.
+    The floor of a coordinate gives its row or column but for rounding at edges, so that one and its neighbours are held
+    against the exact edges, which are literals: no join at all.
     """
-    columns = steps(WEST, EAST)
-    r, c = F.floor((F.col("lat") - SOUTH) / GRID_STEP), F.floor((F.col("lng") - WEST) / GRID_STEP)
-    near = F.array(*[F.when((r + i >= 0) & (c + j >= 0) & (c + j < columns), (r + i) * columns + c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    x = points.withColumn("_p", F.struct(*points.columns)).select("_p", F.explode_outer(F.when(in_bounds(F.col("lat"), F.col("lng")), F.array_compact(near))).alias("ordinal"), "lat", "lng")
-    hit = cells.select("ordinal", F.col("id").alias("cell"), "lat_min", "lat_max", "lng_min", "lng_max")
-    inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lng").between(F.col("lng_min"), F.col("lng_max"))
-    x = x.join(F.broadcast(hit), "ordinal", "left")  # the grid has a fixed number of cells
-    found = x.groupBy("_p").agg(F.min(F.when(inside, F.struct("ordinal", "cell"))).alias("_c"))
-    return found.select("_p.*", F.col("_c.cell").alias("cell"))
+
+    def axis(v: Column, low: float, high: float) -> Column:
+        edges, at = [], low
+        while at < high:
+            edges.append(at)
+            at += GRID_STEP
+        lows, highs = F.array(*[F.lit(e) for e in edges]), F.array(*[F.lit(min(e + GRID_STEP, high)) for e in edges])
+        guess = F.floor((v - low) / GRID_STEP).cast("int")
+        out = F.lit(None).cast("int")
+        for i in (1, 0, -1):  # the lowest that holds it is asked last and wins
+            k = guess + i
+            out = F.when((F.get(lows, k) <= v) & (v <= F.get(highs, k)), k).otherwise(out)
+        return out
+
+    r, c = axis(F.col("lat"), SOUTH, NORTH), axis(F.col("lng"), WEST, EAST)
+    cell = F.concat(F.lit("grid-"), (r * steps(WEST, EAST) + c + base).cast("string"))
+    return points.withColumn("cell", F.when(in_bounds(F.col("lat"), F.col("lng")), cell))
 
 
 def cell_counts(cells: DataFrame, attributed: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def grid_cells_zero_based(spark, d):
 @query(f"WITH RECURSIVE {DET_SQL}, {GRID_SQL}, {AT_SQL} SELECT id, cell FROM att")
 def grid_attribution(spark, d):
     x = detections(spark, d).select("id", "lat", "lng")
-    return store.attribute(x, store.grid(spark)).select("id", "cell")
+    return store.attribute(x).select("id", "cell")
 
 
 @query(
@@ -100,7 +100,7 @@ def grid_attribution(spark, d):
 def grid_counts(spark, d):
     x = detections(spark, d).select("id", "lat", "lng", "detected_at")
     cells = store.grid(spark)
-    return store.cell_counts(cells, store.attribute(x, cells)).na.fill(0, ["last_scanned"])
+    return store.cell_counts(cells, store.attribute(x)).na.fill(0, ["last_scanned"])
 
 
 @query(
@@ -118,7 +118,7 @@ def grid_lookup(spark, d):
 def coverage_pct(spark, d):
     x = detections(spark, d).select("id", "lat", "lng", "detected_at")
     cells = store.grid(spark)
-    return analytics.coverage(store.cell_counts(cells, store.attribute(x, cells))).select("areas_scanned", "areas_total", F.rint(F.col("coverage_pct") * 10).cast("long").alias("coverage_permille"))
+    return analytics.coverage(store.cell_counts(cells, store.attribute(x))).select("areas_scanned", "areas_total", F.rint(F.col("coverage_pct") * 10).cast("long").alias("coverage_permille"))
 
 
 @query(
@@ -135,7 +135,7 @@ def dashboard_stats(spark, d):
     s = F.lit(0.3) * F.least(F.max("waste_area_pct") / 20.0, F.lit(1.0)) + F.lit(0.25) * F.least(F.count("*") / 20.0, F.lit(1.0))
     hs = x.groupBy("image_id").agg(s.alias("score")).withColumn("priority", F.when(F.col("score") > 0.4, "high").otherwise("low"))
     cells = store.grid(spark)
-    grid = store.cell_counts(cells, store.attribute(x.select("id", "lat", "lng", "detected_at"), cells))
+    grid = store.cell_counts(cells, store.attribute(x.select("id", "lat", "lng", "detected_at")))
     out = analytics.stats(x, hs, grid, AS_OF)
     days = F.array_join(F.transform("daily_counts", lambda r: F.concat(r["date"], F.lit("="), r["count"].cast("string"))), ",")
     return out.withColumn("daily_counts", days)

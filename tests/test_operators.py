@@ -46,7 +46,7 @@ def test_grid_shape_and_edges(spark):
 def test_points_on_edges_and_outside(spark):
     pts = [("a", 18.40, 73.70), ("b", 18.70, 74.05), ("c", 18.4045, 73.7045), ("d", 18.3999, 73.8), ("e", 18.5, 75.0)]
     df = spark.createDataFrame(pts, "id string, lat double, lng double")
-    got = {r["id"]: r["cell"] for r in store.attribute(df, store.grid(spark)).collect()}
+    got = {r["id"]: r["cell"] for r in store.attribute(df).collect()}
     assert got == {"a": "grid-1", "b": "grid-5226", "c": "grid-1", "d": None, "e": None}
     assert {r["id"]: r["cell"] for r in store.lookup(df).collect()}["a"] == "grid-0"
 
@@ -54,7 +54,7 @@ def test_points_on_edges_and_outside(spark):
 def test_recomputed_counts_do_not_count_a_replaced_row_twice(spark):
     log = spark.createDataFrame([("x", 1, 18.5, 73.8, 10), ("x", 2, 18.5, 73.8, 20)], "id string, v int, lat double, lng double, detected_at long")
     cells = store.grid(spark)
-    n = store.cell_counts(cells, store.attribute(store.latest(log, ["id"], [F.desc("v")]), cells)).where("scanned").collect()
+    n = store.cell_counts(cells, store.attribute(store.latest(log, ["id"], [F.desc("v")]))).where("scanned").collect()
     assert [(r["detection_count"], r["last_scanned"]) for r in n] == [(1, 20)]
 
 
