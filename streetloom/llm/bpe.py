@@ -12,7 +12,8 @@ Decoding: the written forms of all tokens lie in one string, with a table of off
 slices by one space each, as the library does for vocabularies without a decoder.
 
 Edge cases: null counts as empty; empty texts give no ids and an empty decoded text; texts of any length go through
-whole; repeated rows are encoded each for itself; an empty table gives an empty result.
+whole; repeated rows are encoded each for itself; an empty table gives an empty result; other columns pass through,
+but one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -201,6 +202,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = Shared(spark, path or default_path())
+    docs = docs.drop(out, *([decoded] if decoded else []))
     extra = [(out, "array<int>"), *([(decoded, "string")] if decoded else [])]
 
     def run(batches):
@@ -226,6 +228,8 @@ def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str
     arrow_rows(spark)
     shared = Shared(spark, path or default_path())
 
+    frame = frame.drop(out)
+
     def run(batches):
         decoder = _of(shared, Decoder)
         for batch in batches:

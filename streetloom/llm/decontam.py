@@ -11,7 +11,8 @@ gathered in a column, so no shuffle is needed at any size.
 
 Edge cases: null or wordless texts have no words and no hits; null or wordless items have no window; items with
 equal texts all count; a null item_id counts as the empty string; rows are handled one by one, so repeated rows and
-ids give repeated results; empty tables give empty results or no hits; other columns are passed through untouched.
+ids give repeated results; empty tables give empty results or no hits; other columns pass through, but one named
+like the output is replaced.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ of their id; a documented bound), and have ``BUCKETS`` buckets. Prediction reads
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; rows without lang or doc_id teach nothing; if
 nothing can be learned everything is ``und``; ties go to the language first in order; repeated rows get equal results;
-an empty table gives an empty result; other columns pass through.
+an empty table gives an empty result; other columns pass through, but those named like the output are replaced.
 """
 
 from __future__ import annotations
@@ -175,6 +175,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
 
     def run(batches):
         predictor = Predictor(shared.value)

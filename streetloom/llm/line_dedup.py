@@ -14,7 +14,7 @@ aggregation counts windows, so a passage that a third of all documents share is
 Edge cases: null and empty texts have no lines and stay as they are; a null doc_id comes before all others; rows
 that repeat doc_id and text are one document and are cleaned alike; a document of which nothing is left has an empty
 text; windows that overlap their own earlier occurrence in one text (a line repeated many times) count as repeats;
-an empty table gives an empty result; other columns pass through.
+an empty table gives an empty result; other columns pass through, but those named like the counts are replaced.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_lines: str | None
         extra.append(F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(parts)).cast("long").alias(n_lines))
     if n_removed:
         extra.append(F.when(F.col(gone).isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(n_removed))
-    return x.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *extra)
+    keep = [c for c in docs.columns if c.lower() not in {(n or "").lower() for n in (n_lines, n_removed)}]
+    return x.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], *extra)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

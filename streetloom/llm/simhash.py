@@ -17,7 +17,8 @@ small-star over the forest edges, each written to the shared folder.
 
 Edge cases: a text with fewer words than a shingle is one shingle; null, empty and blank texts have fingerprint zero
 and link like any other; repeated rows share a component; null ids are ignored when the smallest id is sought (null
-if there is no other); an empty table gives an empty result; other columns pass through.
+if there is no other); an empty table gives an empty result; other columns pass through, but one named like the output
+is replaced.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` and the fingerprint of each text as a (signed) long; the text stays."""
     arrow_rows(docs.sparkSession)
+    docs = docs.drop(out)
 
     def run(batches):
         for batch in batches:

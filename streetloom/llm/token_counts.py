@@ -12,7 +12,8 @@ entered in to the same exit, but for its head (up to the first white space) and
 text gives the count up to each chunk's end. Words seen before are transitions from start state to start state.
 
 Edge cases: null counts as empty: 0 bytes, 0 tokens; texts of any length are read whole, in chunks; repeated rows
-are counted each for itself; an empty table gives an empty result; other columns pass through.
+are counted each for itself; an empty table gives an empty result; other columns pass through,
+but one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -158,6 +159,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", o
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = Shared(spark, path or default_path())
+    docs = docs.drop(out)
 
     def run(batches):
         machine = _of(shared, Transducer)

@@ -15,7 +15,8 @@ and the lexicon has at most ``MAX_ENTRIES`` entries. Scoring reads every text wh
 
 Edge cases: null counts as empty; empty texts get the score of a text without matches; rows without a label or with a
 null label teach nothing; a null doc_id is not held out and teaches nothing; no labels of either kind: every score is
-0; repeated rows get equal scores; an empty table gives an empty result; other columns pass through.
+0; repeated rows get equal scores; an empty table gives an empty result; other columns pass through, but one named
+like the output is replaced.
 """
 
 from __future__ import annotations
@@ -208,6 +209,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop(out)
 
     def run(batches):
         matcher = Matcher(shared.value.weights)

@@ -299,8 +299,13 @@ def test_transducer_states_may_start_anew(monkeypatch, library):
 
 
 def test_empty_tables_and_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a b", 5)], "doc_id long, text string, block long")
-    assert bpe.encode(df).columns == ["doc_id", "text", "block", "ids"]
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7, 8, 9)], "doc_id long, text string, block long, ids long, Decoded long, n_tokens long, hits long")
+    out = bpe.encode(df, decoded="decoded")
+    assert out.columns == ["doc_id", "text", "block", "n_tokens", "hits", "ids", "decoded"] and out.first()["decoded"] == "a</w> b</w>"
+    assert token_counts.token_counts(df).first()["n_tokens"] == 2
+    assert decontam.contamination(df, bench(spark, [(1, "b")])).first()["hits"]["words"] == [1]
+    assert simhash.fingerprints(df.withColumn("fp", df["ids"])).columns[-1] == "fp"
+    assert line_dedup.line_dedup(df, n_lines="IDS").first()["IDS"] == 1
     assert bpe.encode(df.limit(0)).count() == token_counts.token_counts(df.limit(0)).count() == 0
 
 
