@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, intersection, window_class
+from ..session import ship
 
 
 def window_labels(boxes: DataFrame) -> DataFrame:
@@ -66,6 +67,7 @@ def pack_collages(parts: DataFrame, size: int = 640, least: int = 32) -> DataFra
                     free.append(rest)
         return pd.DataFrame(out, columns=["collage", "part", "x", "y", "w", "h"])
 
+    ship(parts.sparkSession)
     return parts.groupBy("collage").applyInPandas(pack, "collage string, part long, x double, y double, w double, h double")
 
 
@@ -85,6 +87,7 @@ def laplacian_variance(images: DataFrame) -> DataFrame:
 
         return pixels.map(one)
 
+    ship(images.sparkSession)
     return images.withColumn("sharpness", sharp("pixels"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import iou
 from ..functions.sphere import reprojected, views
 from ..schema import CROSS_VIEW_IOU, TILE_COVER, TILE_EDGE, TILE_IOU
+from ..session import ship
 
 
 def confident(df: DataFrame, threshold: float) -> DataFrame:
@@ -56,6 +57,7 @@ def tile_nms(df: DataFrame, by: list[str]) -> DataFrame:
             free[i + 1 :] &= ~((union > 0) & (inter / np.where(union > 0, union, 1) >= TILE_IOU) | (small > 0) & (inter / np.where(small > 0, small, 1) >= TILE_COVER))
         return pdf.iloc[keep]
 
+    ship(df.sparkSession)
     x = df.select(*by, "id", "confidence", "cut", "x1", "y1", "x2", "y2")
     return x.groupBy(*by).applyInPandas(suppress, x.schema)
 

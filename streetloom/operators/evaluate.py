@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import iou
 from ..functions.stats import f1, ratio, wilson
 from ..schema import MATCH_IOU, PARITY_IOU, PARITY_PX, SIZE_BUCKETS
+from ..session import ship
 
 
 
@@ -32,6 +33,7 @@ def match(preds: DataFrame, truths: DataFrame, threshold: float = MATCH_IOU) ->
     Only pairs that reach the threshold can ever match, so the ordered pass over an image sees nothing else: a free truth with
     the largest overlap is below the threshold exactly if none at or above it is free.
     """
+    ship(preds.sparkSession)
     near = pairs(preds, truths).where(F.col("iou") >= threshold)
     return near.select("image", "prediction", "confidence", "truth", "iou").groupBy("image").applyInPandas(_claim, MATCHES)
 
@@ -65,6 +67,7 @@ def match_by_overlap(left: DataFrame, right: DataFrame, threshold: float | None
 
     Without a threshold pairs that do not overlap match too, as parity wants it.
     """
+    ship(left.sparkSession)
     near = pairs(left, right).where(F.col("iou") >= (threshold or 0.0)).select("image", "prediction", "truth", "iou")
     found = near.groupBy("image").applyInPandas(_pair_up, MATCHES)
     if threshold is not None:

@@ -15,3 +15,27 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each application, so that Python workers find them
+    wherever the driver was started. The archive is served by the driver; nothing depends on shared local paths."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    if not here.is_dir():  # already from an archive
+        return
+    target = Path(tempfile.mkdtemp(prefix="streetloom-")) / "streetloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"streetloom/{f.relative_to(here)}")
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
