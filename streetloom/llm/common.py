@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Rows of one Arrow batch: a batch of the longest texts must fit a Python worker.
 ARROW_ROWS = 256
 
@@ -18,7 +20,8 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch; texts have no length limit."""
+    """Get ready for Arrow functions: bound the rows of a batch (texts have no length limit), send the modules out."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
