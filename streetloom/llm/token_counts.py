@@ -28,7 +28,7 @@ from .bpe import KEPT_BLOCKS, LONGEST_KEPT, Encoder, Shared, _of, default_path
 from .common import arrow_rows, documents, with_fields
 from .vocab import _SPLIT_SPACE, Recent, Vocabulary, blocks, pieces, symbols
 
-KEPT_STATES = 1 << 18
+KEPT_STATES = 1 << 17
 CHUNK = 1 << 15
 
 
