@@ -151,11 +151,12 @@ def sweep(preds: DataFrame, truths: DataFrame, thresholds: list[float], least_io
     return x.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
-def choose_threshold(curve: DataFrame, precision: float = 0.85) -> DataFrame:
-    """The lowest threshold that reaches the precision; else the one with the best F1, the lower of equals."""
+def choose_threshold(curve: DataFrame, precision: float = 0.85, by: list[str] | None = None) -> DataFrame:
+    """The lowest threshold that reaches the precision; else the one with the best F1, the lower of equals. One row, or
+    one for each group ``by``."""
     good = F.min(F.when(F.col("precision") >= precision, F.col("threshold")))
     best = F.max(F.struct(f1(F.col("precision"), F.col("recall")).alias("f"), (-F.col("threshold")).alias("t")))
-    return curve.agg(F.coalesce(good, -best["t"]).alias("threshold"), good.isNotNull().alias("reached"))
+    return curve.groupBy(*(by or [])).agg(F.coalesce(good, -best["t"]).alias("threshold"), good.isNotNull().alias("reached"))
 
 
 def parity(left: DataFrame, right: DataFrame, size_px: float = 640.0) -> DataFrame:
