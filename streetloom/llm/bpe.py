@@ -28,11 +28,11 @@ from .common import arrow_rows, documents, with_fields
 from .vocab import Recent, Specials, Vocabulary, blocks, pieces, symbols
 
 #: Blocks that a worker remembers before it starts anew.
-KEPT_BLOCKS = 1 << 18
+KEPT_BLOCKS = 1 << 16
 #: Longer ones are not remembered.
 LONGEST_KEPT = 64
 #: Answers about pairs that a worker remembers.
-KEPT_PAIRS = 1 << 19
+KEPT_PAIRS = 1 << 17
 
 
 class Encoder:
