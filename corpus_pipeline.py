@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from streetloom.llm import bpe, decontam, line_dedup, simhash, toxicity
 from streetloom.llm.common import documents, spare, written
 
+#: Blocks that an encoding worker remembers: executors have held the other stages' data before.
+KEPT_BLOCKS = 1 << 16
+
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``n_chars`` as the text has them now."""
@@ -51,7 +54,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """7: token ids, and a check that they decode to what the vocabulary writes for them."""
-    frame = bpe.encode(docs.select("doc_id", "text"), decoded="decoded")
+    frame = bpe.encode(docs.select("doc_id", "text"), decoded="decoded", kept=KEPT_BLOCKS)
     return frame.select("doc_id", "ids", *bpe.digests(frame))
 
 

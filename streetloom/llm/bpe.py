@@ -28,15 +28,13 @@ from .common import arrow_rows, documents, with_fields
 from .vocab import Recent, Specials, Vocabulary, blocks, pieces, symbols
 
 #: Blocks that a worker remembers before it starts anew.
-KEPT_BLOCKS = 1 << 16
+KEPT_BLOCKS = 1 << 18
 #: Longer ones are not remembered.
 LONGEST_KEPT = 64
-#: Answers about pairs that a worker remembers.
-KEPT_PAIRS = 1 << 17
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT_BLOCKS):
         import ahocorasick
 
         self.special = Specials(vocabulary.special)
@@ -60,7 +58,9 @@ class Encoder:
             self.longest[s] = ids[s]
         self.spines: tuple[dict, dict] = ({}, {})
         self.table: dict[int, bool] = {}
-        self.blocks, self.words = Recent(KEPT_BLOCKS), Recent(KEPT_BLOCKS)
+        self.blocks, self.words = Recent(kept), Recent(kept)
+        #: Answers about pairs that are remembered.
+        self.kept_pairs = 2 * kept
 
     def _spine(self, token: int, side: int) -> tuple[list[int], list[float]]:
         """The tokens along one edge of a merge tree from the root down, and the ranks at which each is used up."""
@@ -93,7 +93,7 @@ class Encoder:
                     i -= 1
                 else:
                     j -= 1
-            if len(self.table) > KEPT_PAIRS:
+            if len(self.table) > self.kept_pairs:
                 self.table.clear()
             self.table[key] = known
         return known
@@ -175,11 +175,11 @@ class Decoder:
 _MADE: dict = {}
 
 
-def _of(shared, kind):
+def _of(shared, kind, *sizes):
     """One encoder or decoder for each worker process and vocabulary."""
-    key = (kind.__name__, shared.path, shared.id)
+    key = (kind.__name__, shared.path, shared.id, *sizes)
     if key not in _MADE:
-        _MADE[key] = kind(shared.value.value)
+        _MADE[key] = kind(shared.value.value, *sizes)
     return _MADE[key]
 
 
@@ -197,8 +197,9 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """``docs`` and a column of token ids (array<int>); with ``decoded``, also the text that these ids give."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", decoded: str | None = None, kept: int = KEPT_BLOCKS) -> DataFrame:
+    """``docs`` and a column of token ids (array<int>); with ``decoded``, also the text that these ids give. A worker
+    remembers ``kept`` blocks at most: fewer take less memory and more time, and give the same ids."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = Shared(spark, path or default_path())
@@ -206,7 +207,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     extra = [(out, "array<int>"), *([(decoded, "string")] if decoded else [])]
 
     def run(batches):
-        encoder, decoder = _of(shared, Encoder), _of(shared, Decoder)
+        encoder, decoder = _of(shared, Encoder, kept), _of(shared, Decoder)
         for batch in batches:
             flat, offsets, texts = array("i"), array("i", [0]), []
             for t in batch.column(text):
