@@ -38,7 +38,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """6: later repeats of runs of lines are cut; a document of which nothing is left goes."""
     removed = spare(docs, "_removed")
     cut = line_dedup.line_dedup(docs, n_removed=removed)
-    left = (F.col(removed) == 0) | (F.trim(F.translate("text", "\n\t\r", "   ")) != "")
+    left = (F.col(removed) == 0) | F.col("text").rlike(f"[^{line_dedup.SPACE}]")
     return _counted(cut.where(left), docs.columns)
 
 

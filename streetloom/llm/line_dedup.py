@@ -1,8 +1,9 @@
 """Line deduplication by winnowing over line hashes, in DataFrame operations only.
 
-A line is what newlines bound, compared without blanks at its ends. Lines without a word are never counted, matched
-or deleted. From every line starts a forward window - the fewest lines that hold ``min_words`` words - and at every
-line ends a backward one. Each window is fingerprinted by the smallest of its line hashes (winnowing: equal windows
+A line is what newlines bound, compared without white space at its ends. Words are what any white space bounds (tabs
+and no-break blanks too); of scripts written without blanks each character counts as a word. Lines without a word are
+never counted, matched or deleted. From every line starts a forward window - the fewest lines that hold ``min_words``
+words - and at every line ends a backward one. Each window is fingerprinted by the smallest of its line hashes (winnowing: equal windows
 select equal minima, so every repeated run of ``min_words`` words has a common fingerprint), and positions are joined
 on that fingerprint, with the hash of the whole window to verify. A maximal repeated run is exactly the union of its
 forward and backward windows, so taking both directions extends a match both ways to its full length.
@@ -26,23 +27,39 @@ from pyspark.sql import functions as F
 from .common import documents, spare, written
 
 MIN_WORDS = 50
+#: White space inside a line, and scripts without blanks between words (Thai, Lao, Tibetan, Burmese, Khmer, New Tai Lue
+#: and Tai Tham, kana, Han), as insides of a Java character class.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNSPACED = r"\u0e01-\u0e3a\u0e40-\u0fff\u1000-\u109f\u1780-\u17ff\u1980-\u19df\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3021-\u302f\u3031-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\x{1b000}-\x{1b16f}\x{20000}-\x{3ffff}"
+#: A superset of both but the blank that is quick to look for: without it, words are what blanks bound.
+ODD = r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u0e00-\x{10ffff}]"
+WORD = rf"\p{{P}}*[{UNSPACED}][\p{{M}}\p{{P}}]*|[^{SPACE}{UNSPACED}]+"
 
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def words_in(line: Column) -> Column:
-    """Words of a trimmed line: one more than its single blanks (runs of blanks count once)."""
+def trimmed(line: Column, odd: Column) -> Column:
+    ends = rf"^[{SPACE}]+|(?<![{SPACE}])[{SPACE}]+\z"
+    return F.when(odd, F.regexp_replace(line, ends, "")).otherwise(F.trim(line))
+
+
+def words_in(line: Column, odd: Column | None = None) -> Column:
+    """Words of a trimmed line: what white space bounds, each character of an unspaced script (with its marks) by itself.
+    Where nothing is ``odd``, they are one more than the single blanks (runs of blanks count once), which is cheaper."""
     one = F.regexp_replace(line, "  +", " ")
-    return F.when(line == "", 0).otherwise(F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1)
+    plain = F.length(one) - F.length(F.replace(one, F.lit(" "), F.lit(""))) + 1
+    odd = line.rlike(ODD) if odd is None else odd
+    return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(plain)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, h, n): the lines with words of each document; th tells texts of one id apart."""
-    x = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    x = x.withColumn("line", F.trim("line")).where("line <> ''")
-    return x.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), words_in(F.col("line")).alias("n"))
+    x = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), F.col("text").rlike(ODD).alias("odd"))
+    x = x.select("doc_id", "th", "odd", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    x = x.withColumn("line", trimmed(F.col("line"), F.col("odd"))).where("line <> ''")
+    return x.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), words_in(F.col("line"), F.col("odd")).alias("n"))
 
 
 def windows(x: DataFrame, min_words: int) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from streetloom.llm import bpe, decontam, exact_dedup, line_dedup, simhash, token_counts
 from streetloom.llm.vocab import Vocabulary
@@ -157,6 +158,22 @@ def test_line_dedup_repeated_rows_null_ids_and_clashing_columns(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [
+    "\t".join(f"cell{i}" for i in range(60)), "\u00a0".join(f"w{i}" for i in range(60)),
+    "".join(chr(0x4E00 + i * 7) for i in range(60)) + "\u3002", "".join(chr(0x3042 + i) for i in range(30)) + "\n" + "".join(chr(0x30A2 + i) for i in range(30)), "".join(chr(0x0E01 + i % 40) for i in range(60)),
+])
+def test_line_dedup_counts_words_without_blanks(spark, run):
+    docs = ["first before\n" + run + "\nfirst after", "other before\n\u00a0" + run + "\t\nother after"]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    assert out == {0: docs[0], 1: "other before\nother after"}
+
+
+def test_line_dedup_words(spark):
+    want = {"a b": 2, "a\tb\u00a0\u3000c": 3, "a  b": 2, "\u4f60\u597d\uff0c\u4e16\u754c\u3002": 4, "\u300c\u4f60\u300dab c": 3, "\u0e01\u0e34\u0e19": 2, "": 0}
+    got = spark.createDataFrame([(x,) for x in want], "line string").select("line", line_dedup.words_in(F.col("line")).alias("n")).collect()
+    assert {r["line"]: r["n"] for r in got} == want
+
+
 # SimHash
 
 
