@@ -3,14 +3,15 @@
 Each learned language has a distribution over hashed character trigrams of bounded words; a word's likelihood is the
 product over its trigrams. A document is a bag of words drawn from a mixture of languages: expectation-maximisation
 estimates the proportions, first over all languages. Then the languages with the largest proportions form nested sets
-of 1 to ``MAX_SET``; each is fitted, and the set with the largest log-likelihood less half its size times the log of
-the number of words (a penalised likelihood) is selected. The prediction is the language with the largest proportion
-in the selected set, the score that proportion.
+of one to all of them; each is fitted, and the set with the largest log-likelihood less half its size times the log of
+the number of words (a penalised likelihood) is selected. Every estimation runs until no proportion moves by
+``TOLERANCE`` in a step. The prediction is the language with the largest proportion in the selected set, the score that
+proportion; the set and its proportions are returned with it, largest first.
 
 The trigram tables are learned from at most ``PER_LANGUAGE`` documents of each language (those with the smallest hash
 of their id; a documented bound), and have ``BUCKETS`` buckets. Prediction reads every text whole.
 
-Edge cases: null, empty and letterless texts are ``und`` with score 0; rows without lang or doc_id teach nothing; if
+Edge cases: null, empty and letterless texts are ``und`` with score 0 and an empty set; rows without lang or doc_id teach nothing; if
 nothing can be learned everything is ``und``; ties go to the language first in order; repeated rows get equal results;
 an empty table gives an empty result; other columns pass through, but those named like the output are replaced.
 """
@@ -31,8 +32,9 @@ from .common import arrow_rows, crc_mod, documents, with_fields
 
 PER_LANGUAGE = 3_000
 BUCKETS = 1 << 16
-MAX_SET = 3
-STEPS = 8
+TOLERANCE = 1e-5
+#: A guard against endless estimation, far beyond what converging takes.
+STEPS = 5_000
 #: Words whose likelihoods a worker remembers.
 KEPT_WORDS = 300_000
 UNDETERMINED = "und"
@@ -109,9 +111,13 @@ class Predictor:
         return ids
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        return [(x, s) for x, s, _, _ in self.mixtures(texts)]
+
+    def mixtures(self, texts: list[str | None]) -> list[tuple[str, float, list[str], list[float]]]:
+        """Prediction, score, selected languages and their proportions, largest first."""
         if self.size > KEPT_WORDS:
             self.number, self.size = {}, 0
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        out: list[tuple[str, float, list[str], list[float]]] = [(UNDETERMINED, 0.0, [], [])] * len(texts)
         rows, bags, counts = [], [], []
         for i, text in enumerate(texts):
             if self.model.languages and (found := words(text)):
@@ -120,71 +126,91 @@ class Predictor:
                 bags.append(ids)
                 counts.append(n)
         if rows:
-            best, share = self._mixtures(bags, counts)
-            for i, k, s in zip(rows, best, share):
-                out[i] = (self.model.languages[k], float(min(1.0, max(0.0, s))))
+            chosen, shares = self._mixtures(bags, counts)
+            for i, c, p in zip(rows, chosen, shares):
+                at = [k for k in np.argsort(-p, kind="stable") if c[k]]
+                share = [float(min(1.0, max(0.0, p[k]))) for k in at]
+                out[i] = (self.model.languages[at[0]], share[0], [self.model.languages[k] for k in at], share)
         return out
 
     def _mixtures(self, bags, counts):
+        """For each document, which languages are selected and the proportions of all (0 outside the set)."""
         starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
         doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        logs, n = self.table[np.concatenate(bags)], np.concatenate(counts).astype(np.float32)
+        logs, n = self.table[np.concatenate(bags)], np.concatenate(counts).astype(np.float64)
         top = logs.max(axis=1)
-        like = np.exp(logs - top[:, None])
+        like = np.exp(logs - top[:, None]).astype(np.float64)
         total = np.add.reduceat(n, starts)
         size = self.model.logs.shape[1]
 
-        def fitted(doc, like, n, top, starts, total, allowed):
+        def part(pick):
+            """The rows of the documents picked, renumbered."""
+            take = pick[doc]
+            d = (np.cumsum(pick) - 1)[doc[take]]
+            return take, d, np.flatnonzero(np.diff(d, prepend=-1))
+
+        def fitted(pick, allowed):
+            take, d, s = part(pick)
+            l, w, t = like[take], n[take], total[pick]
             pi = allowed / allowed.sum(axis=1, keepdims=True)
+            # documents at rest leave the estimation
+            live, (al, aw, ad, as_, at), cur = np.arange(len(t)), (l, w, d, s, t), pi.copy()
             for _ in range(STEPS):
-                joint = pi[doc] * like
-                mix = np.maximum(joint.sum(axis=1), 1e-30)
-                pi = np.add.reduceat(joint * (n / mix)[:, None], starts) / total[:, None]
-            mix = np.maximum((pi[doc] * like).sum(axis=1), 1e-30)
-            return pi, np.add.reduceat(n * (np.log(mix) + top), starts)
-
-        pi, _ = fitted(doc, like, n, top, starts, total, np.ones((len(bags), size), np.float32))
+                joint = cur[ad] * al
+                mix = np.maximum(joint.sum(axis=1), 1e-300)
+                new = np.add.reduceat(joint * (aw / mix)[:, None], as_) / at[:, None]
+                moving = np.abs(new - cur).max(axis=1) > TOLERANCE
+                pi[live] = cur = new
+                if not moving.any():
+                    break
+                if moving.mean() < 0.8:
+                    rows = moving[ad]
+                    al, aw, ad = al[rows], aw[rows], (np.cumsum(moving) - 1)[ad[rows]]
+                    as_, at, live, cur = np.flatnonzero(np.diff(ad, prepend=-1)), at[moving], live[moving], cur[moving]
+            mix = np.maximum((pi[d] * l).sum(axis=1), 1e-300)
+            return pi, np.add.reduceat(w * (np.log(mix) + top[take]), s)
+
+        every = np.ones(len(bags), bool)
+        pi, whole = fitted(every, np.ones((len(bags), size)))
         order = np.argsort(-pi, axis=1, kind="stable")
-        best, share = order[:, 0].copy(), np.ones(len(bags))
-        single = np.add.reduceat(n[:, None] * logs, starts)
-        worth = single[np.arange(len(bags)), best]
-        for m in range(2, min(MAX_SET, size) + 1):
+        first = order[:, 0]
+        chosen = np.zeros((len(bags), size), bool)
+        chosen[np.arange(len(bags)), first] = True
+        shares = chosen.astype(np.float64)
+        worth = np.add.reduceat(n[:, None] * logs, starts)[np.arange(len(bags)), first]
+        for m in range(2, size + 1):
             # a further language can pay only if some words are its own
-            more = np.flatnonzero(pi[np.arange(len(bags)), order[:, m - 1]] * total >= 0.5)
-            if not len(more):
+            pick = pi[np.arange(len(bags)), order[:, m - 1]] * total >= 0.5
+            if not pick.any():
                 break
-            pick = np.zeros(len(bags), bool)
-            pick[more] = True
-            take = pick[doc]
-            number = np.cumsum(pick) - 1
-            allowed = np.zeros((len(more), size), np.float32)
-            np.put_along_axis(allowed, order[more, :m], 1, axis=1)
-            d = number[doc[take]]
-            s = np.flatnonzero(np.diff(d, prepend=-1))
-            p, ll = fitted(d, like[take], n[take], top[take], s, total[more], allowed)
-            value = ll - 0.5 * (m - 1) * np.log(np.maximum(total[more], 2))
-            win = value > worth[more]
-            k = more[win]
-            worth[k], best[k] = value[win], p[win].argmax(axis=1)
-            share[k] = p[win].max(axis=1)
-        return best, share
+            allowed = np.zeros((int(pick.sum()), size))
+            np.put_along_axis(allowed, order[pick, :m], 1, axis=1)
+            p, ll = (pi[pick], whole[pick]) if m == size else fitted(pick, allowed)
+            value = ll - 0.5 * (m - 1) * np.log(np.maximum(total[pick], 2))
+            k = np.flatnonzero(pick)
+            win = value > worth[k]
+            k = k[win]
+            worth[k], shares[k], chosen[k] = value[win], p[win], allowed[win] > 0
+        return chosen, shares
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs``, lang_pred and score."""
+    """``docs``, lang_pred and score, and the selected languages with their proportions."""
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "languages", "proportions")
 
     def run(batches):
         predictor = Predictor(shared.value)
         for batch in batches:
-            found = predictor.predict(batch.column(text).to_pylist())
-            batch = batch.append_column("lang_pred", pa.array([x for x, _ in found], pa.string()))
-            yield batch.append_column("score", pa.array([s for _, s in found], pa.float64()))
+            found = predictor.mixtures(batch.column(text).to_pylist())
+            kinds = (("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64())))
+            for i, (name, kind) in enumerate(kinds):
+                batch = batch.append_column(name, pa.array([x[i] for x in found], kind))
+            yield batch
 
-    return docs.mapInArrow(run, with_fields(docs, ("lang_pred", "string"), ("score", "double")))
+    return docs.mapInArrow(run, with_fields(docs, ("lang_pred", "string"), ("score", "double"), ("languages", "array<string>"), ("proportions", "array<double>")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,4 +218,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = crc_mod("doc_id", 3)
     model = fit(docs, rest.isin(0, 2))
     rows = docs.select("doc_id", (rest == 1).alias("held_out"), "text")
-    return predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return predicted(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages", "proportions")

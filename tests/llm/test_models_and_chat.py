@@ -135,6 +135,30 @@ def test_mixture_proportions_equal_plain_em():
         assert lang == model.languages[int(pi.argmax())] and score == pytest.approx(pi.max(), abs=1e-3)
 
 
+def word_model(chances):
+    """A model in which each word of one letter has these chances in the languages a, b, ..."""
+    size = len(next(iter(chances.values())))
+    logs = np.full((langid.BUCKETS, size), -9, np.float32)
+    for word, p in chances.items():
+        logs[langid.trigrams(word)[0]] = np.log(p)
+    return langid.Model(list("abcdefgh")[:size], logs)
+
+
+def test_four_languages_and_their_proportions(spark):
+    model = word_model({w: [0.9 if i == k else 0.001 for i in range(5)] for k, w in enumerate("qrstu")})
+    mix = " ".join(["q"] * 40 + ["r"] * 30 + ["s"] * 20 + ["t"] * 10)
+    out = langid.predicted(spark.createDataFrame([(1, mix), (2, ""), (3, mix + " u" * 10)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert out[0]["languages"] == ["a", "b", "c", "d"] and out[0]["proportions"] == pytest.approx([0.4, 0.3, 0.2, 0.1], abs=1e-2)
+    assert (out[0]["lang_pred"], out[0]["score"]) == ("a", out[0]["proportions"][0])
+    assert out[1]["languages"] == out[1]["proportions"] == [] and len(out[2]["languages"]) == 5
+
+
+def test_proportions_are_estimated_to_convergence():
+    """1200 log(0.5 + p / 2) + 800 log(1 - p / 2) is largest at p = 0.8; eight steps come to 0.68."""
+    found = langid.Predictor(word_model({"q": [1, 0.5], "r": [0.5, 1]})).mixtures(["q " * 1200 + "r " * 800])[0]
+    assert found[2] == ["a", "b"] and found[1] == pytest.approx(0.8, abs=1e-3)
+
+
 def test_language_without_training(spark, tables):
     docs, _ = tables
     model = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
