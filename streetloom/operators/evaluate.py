@@ -121,13 +121,13 @@ def bootstrap(recs: DataFrame, key: Column, rounds: int = 2000, seed: int = 0) -
     """
     spark = recs.sparkSession
     g = recs.groupBy(key.alias("g")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    rows = g.orderBy("g").collect()  # one small row for each group
-    n = len(rows)
+    n = g.count()
     if not n:
         return spark.createDataFrame([], "metric string, low double, high double, rounds bigint")
-    numbered = spark.createDataFrame([(i, int(r["tp"]), int(r["fp"]), int(r["fn"])) for i, r in enumerate(rows)], "i long, tp long, fp long, fn long")
+    # groups are numbered where they are: there may be as many as images
+    numbered = g.orderBy("g").select(*[F.col(c).cast("long") for c in ("tp", "fp", "fn")]).rdd.zipWithIndex().toDF("r struct<tp: long, fp: long, fn: long>, i long").select("i", "r.*")
     draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("i"))
-    x = draws.join(F.broadcast(numbered), "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    x = draws.join(numbered, "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     x = x.select(ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     x = x.select(F.explode(F.array(F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("v")), F.struct(F.lit("recall").alias("metric"), F.col("recall").alias("v")))).alias("s")).select("s.*").where("v is not null")
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))

@@ -174,7 +174,7 @@ def recall_by_size(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     """Resampled intervals; the tests hold them against resampling in a loop."""
-    return evaluate.bootstrap(_plain_records(spark, d), F.col("image"), rounds=500)
+    return evaluate.bootstrap(_plain_records(spark, d), F.col("image"))
 
 
 @query()

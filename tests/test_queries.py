@@ -41,6 +41,10 @@ def test_others_run(spark, name):
     assert df.columns and df.count() > 0
 
 
+def test_bootstrap_resamples_as_often_as_the_operator(spark):
+    assert {r["rounds"] for r in QUERIES["bootstrap_ci"](spark, SF).collect()} == {2000}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
