@@ -40,6 +40,8 @@ WORDS, SHAPES, SHARES = 128, 96, 10
 SOURCES, LANGUAGES = 64, 16
 _RUNS = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\dA-Z_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+"))
 KEPT_TOKENS = 300_000
+#: Longer tokens are looked at anew each time, so that the table stays small.
+KEPT_LENGTH = 64
 
 
 def shape(token: str) -> str:
@@ -60,8 +62,9 @@ class TextView:
             if len(self.known) > KEPT_TOKENS:
                 self.known.clear()
             word = token.lower().strip(".,;:!?").encode("utf-8", "surrogatepass")
-            found = (crc32(word) % WORDS, crc32(shape(token[:64]).encode("utf-8", "surrogatepass")) % SHAPES)
-            self.known[token] = found
+            found = (crc32(word) % WORDS, crc32(shape(token).encode("utf-8", "surrogatepass")) % SHAPES)
+            if len(token) <= KEPT_LENGTH:
+                self.known[token] = found
         return found
 
     def vector(self, text: str | None) -> np.ndarray:
@@ -82,7 +85,7 @@ class TextView:
         upper = sum(k for t, k in bag.items() if t.isupper() and len(t) > 1)
         alpha = sum(k for t, k in bag.items() if t.isalpha())
         odd = sum(k for t, k in bag.items() if not t[-1].isalnum() and t[-1] not in ".,")
-        bare = sum(k for t, k in bag.items() if not any(c.isalnum() for c in t[:8]))
+        bare = sum(k for t, k in bag.items() if not any(map(str.isalnum, t)))
         out[-SHARES:] = [
             upper / len(tokens), alpha / len(tokens), odd / len(tokens), bare / len(tokens), len(bag) / len(tokens), min(letters / len(tokens), 40) / 10,
             1 - len(set(lines)) / max(1, len(lines)), max(bag.values()) / len(tokens), np.log1p(len(tokens)) / 10, 0,

@@ -2,6 +2,7 @@
 
 import os
 import random
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -185,6 +186,15 @@ def test_co_training_exchanges_pseudo_labels(spark, tables, monkeypatch):
     assert len(sizes) >= 4 and sizes[-1][0] > sizes[1][0] and sizes[-1][1] == cotraining.PSEUDO_WEIGHT
 
 
+def test_text_view_reads_whole_tokens():
+    view, bare = cotraining.TextView(), -cotraining.SHARES + 3
+    assert view.vector("!" * 8 + "word")[bare] == 0 and view.vector("!" * 80)[bare] == 1
+    token = "ab1" * 30 + "-X" * 20
+    at = crc32(cotraining.shape(token).encode()) % cotraining.SHAPES
+    assert at != crc32(cotraining.shape(token[:64]).encode()) % cotraining.SHAPES
+    assert view.vector(token)[1 + cotraining.WORDS + at] == 1 and token not in view.known
+
+
 def test_co_training_edges(spark, tables):
     _, labels = tables
     df = spark.createDataFrame([(1, None, None, None, None), (2, "", "", "", 0), (None, "x\n" * 3000, "en", "s", -4), (1, None, None, None, None)], DOCS)
