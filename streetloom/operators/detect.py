@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
-from ..functions.sphere import reprojected, views
-from ..schema import CROSS_VIEW_IOU, TILE_COVER, TILE_EDGE, TILE_IOU
+from ..functions.sphere import AXES, HALF_FOV_DEG, MIN_DEPTH, PERIMETER
+from ..schema import CROSS_VIEW_IOU, TILE_COVER, TILE_EDGE, TILE_IOU, VIEWS
 from ..session import ship
 
 
@@ -62,26 +61,58 @@ def tile_nms(df: DataFrame, by: list[str]) -> DataFrame:
     return x.groupBy(*by).applyInPandas(suppress, x.schema)
 
 
+def _seen_from_all(view: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Corner boxes as seen in each of the views, n x views x 4 (see ``sphere.reprojected``); nan where part lies behind."""
+    e = np.tan(np.radians(HALF_FOV_DEG))
+    origin, right, down = (np.array([AXES[v][i] for v in VIEWS], float) * (e if i else 1) for i in range(3))
+    low, high = np.full((len(b), len(VIEWS), 2), np.inf), np.full((len(b), len(VIEWS), 2), -np.inf)
+    behind = np.zeros((len(b), len(VIEWS)), bool)
+    for wx, wy in PERIMETER:
+        x, y = b[:, 0] + (b[:, 2] - b[:, 0]) * wx, b[:, 1] + (b[:, 3] - b[:, 1]) * wy
+        ray = origin[view] + (2 * x - 1)[:, None] * right[view] + (2 * y - 1)[:, None] * down[view]
+        depth = ray @ origin.T
+        ok = depth > MIN_DEPTH
+        behind |= ~ok
+        depth = np.where(ok, depth, 1)
+        at = np.stack([((ray @ a.T / depth - (origin * a).sum(1)) / (a * a).sum(1) + 1) / 2 for a in (right, down)], axis=2)
+        low, high = np.minimum(low, at), np.maximum(high, at)
+    seen = np.concatenate([np.maximum(0, low), np.minimum(1, high)], axis=2)
+    seen[behind] = np.nan
+    return seen
+
+
 def cross_view_nms(df: DataFrame, by: str = "image_id") -> DataFrame:
     """Greedy suppression over the views of a panorama: by falling confidence (then id), a box goes if a kept box of
     another view, seen from its own, overlaps it by ``CROSS_VIEW_IOU``.
 
-    Which pairs can suppress at all is a join on the panorama, made of column expressions; only the order-dependent
-    choice among such pairs is a fold over one panorama.
+    One ordered pass for each panorama: a kept box is seen once in each other view and held against that view's later
+    boxes, so memory grows with the boxes of a panorama and not with their pairs. Boxes without a confidence or of no
+    known view neither suppress nor go.
     """
-    v = views(df.sparkSession)
-    a, b = df.alias("k"), df.alias("c")
-    vk, vc = F.broadcast(v).alias("vk"), F.broadcast(v).alias("vc")  # six rows
-    x = a.join(b, by).where("k.view_id <> c.view_id and (k.confidence > c.confidence or k.confidence = c.confidence and k.id < c.id)")
-    x = x.join(vk, F.col("k.view_id") == F.col("vk.view_id")).join(vc, F.col("c.view_id") == F.col("vc.view_id"))
-    x = x.select(F.col(by), F.col("k.id").alias("kept"), F.col("c.id").alias("id"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2")], *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("x1", "y1", "x2", "y2")],
-                 *[F.col(f"{n}.{k}").alias(f"{n}_{k}") for n in ("vk", "vc") for k in ("origin", "right", "down")])
-    axes = lambda n: {k: F.col(f"{n}_{k}") for k in ("origin", "right", "down")}
-    x = reprojected(x, [by, "kept", "id", *[f"c_{c}" for c in ("x1", "y1", "x2", "y2")]], [F.col(f"k_{c}") for c in ("x1", "y1", "x2", "y2")], axes("vk"), axes("vc"))
-    over = iou([F.col("seen")[i] for i in range(4)], [F.col(f"c_{c}") for c in ("x1", "y1", "x2", "y2")])
-    can = x.where(F.col("seen").isNotNull() & (over >= CROSS_VIEW_IOU)).groupBy(by, "id").agg(F.collect_set("kept").alias("rivals"))
-    full = df.join(can, [by, "id"], "left")
-    rows = full.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), "id", "rivals"))).alias("bs"))
-    fold = "aggregate(bs, cast(array() as array<string>), (acc, b) -> case when b.rivals is not null and arrays_overlap(acc, b.rivals) then acc else concat(acc, array(b.id)) end)"
-    kept = rows.select(by, F.explode(F.expr(fold)).alias("id"))
+
+    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
+        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        view = pdf["view_id"].map({v: i for i, v in enumerate(VIEWS)}).where(pdf["confidence"].notna()).fillna(-1).to_numpy(int)
+        seen = _seen_from_all(view, b)
+        area = lambda r: np.maximum(0, r[..., 2] - r[..., 0]) * np.maximum(0, r[..., 3] - r[..., 1])
+        mine = [np.flatnonzero(view == v) for v in range(len(VIEWS))]
+        boxes, areas = [b[m] for m in mine], [area(b[m]) for m in mine]
+        free, sizes = np.ones(len(b), bool), area(seen)
+        for i in range(len(b)):
+            if view[i] < 0 or not free[i]:
+                continue
+            for v in range(len(VIEWS)):
+                s = seen[i, v]
+                if v == view[i] or not sizes[i, v] > 0:
+                    continue
+                k = np.searchsorted(mine[v], i)  # what comes later
+                r = boxes[v][k:]
+                inter = np.maximum(0, np.minimum(r[:, 2], s[2]) - np.maximum(r[:, 0], s[0])) * np.maximum(0, np.minimum(r[:, 3], s[3]) - np.maximum(r[:, 1], s[1]))
+                free[mine[v][k:][inter / (areas[v][k:] + sizes[i, v] - inter) >= CROSS_VIEW_IOU]] = False
+        return pdf.loc[free, [by, "id"]]
+
+    ship(df.sparkSession)
+    x = df.select(by, "id", "view_id", "confidence", "x1", "y1", "x2", "y2")
+    kept = x.groupBy(by).applyInPandas(suppress, x.select(by, "id").schema)
     return df.join(kept, [by, "id"], "left_semi")

@@ -107,9 +107,8 @@ def tile_nms(spark, d):
 
 @query()
 def cross_view_nms(spark, d):
-    """Greedy suppression over views; held against a loop in the tests."""
-    x = detections(spark, d).withColumn("image_id", F.concat(F.lit("p"), (F.col("event_id") / 12).cast("long").cast("string")))
-    return detect.cross_view_nms(x).select("image_id", "id", "view_id")
+    """Greedy suppression over the views of each panorama; held against a loop in the tests."""
+    return detect.cross_view_nms(detections(spark, d)).select("image_id", "id", "view_id")
 
 
 @query()

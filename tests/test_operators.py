@@ -206,6 +206,13 @@ def test_cross_view_nms_equals_a_loop(spark):
     assert got == want
 
 
+def test_cross_view_nms_stands_a_large_panorama(spark):
+    rows = random_boxes(random.Random(4), 9990, 1, ("front", "right", "left", "up"), 0.1)
+    rows += [("g0", "x", "front", 0.95, False, 0.9, 0.4, 1.0, 0.6), ("g0", "y", "right", 0.05, False, *reproject((0.9, 0.4, 1.0, 0.6), "front", "right"))]
+    out = {r["id"] for r in detect.cross_view_nms(spark.createDataFrame(rows, BOXES)).collect()}
+    assert "x" in out and "y" not in out and len(out) > 1000
+
+
 # matching and evaluation
 
 

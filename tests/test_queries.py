@@ -45,6 +45,11 @@ def test_bootstrap_resamples_as_often_as_the_operator(spark):
     assert {r["rounds"] for r in QUERIES["bootstrap_ci"](spark, SF).collect()} == {2000}
 
 
+def test_cross_view_nms_keeps_the_panoramas(spark):
+    got = {r["image_id"] for r in QUERIES["cross_view_nms"](spark, SF).collect()}
+    assert got == {r["image_id"] for r in detections(spark, SF).select("image_id").distinct().collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
