@@ -2,20 +2,27 @@
 
 A line is what newlines bound, compared without white space at its ends. Words are what any white space bounds (tabs
 and no-break blanks too); of scripts written without blanks each character counts as a word. Lines without a word are
-never counted, matched or deleted. From every line starts a forward window - the fewest lines that hold ``min_words``
-words - and at every line ends a backward one. Each window is fingerprinted by the smallest of its line hashes (winnowing: equal windows
-select equal minima, so every repeated run of ``min_words`` words has a common fingerprint), and positions are joined
-on that fingerprint, with the hash of the whole window to verify. A maximal repeated run is exactly the union of its
-forward and backward windows, so taking both directions extends a match both ways to its full length.
-
-A line is deleted if a window with it in it has an equal one earlier (smaller doc_id, then earlier line): the first
-occurrence of a run stays, later ones go. The join's small side has one row for each *repeated* window, and map-side
-aggregation counts windows, so a passage that a third of all documents share is one row there.
+never counted, matched or deleted.
+
+1. Winnowing: from every line starts a window, the fewest lines that hold ``min_words`` words. The line with the
+   smallest hash in it (the first of equals) is its anchor, and a line that is the anchor of many windows is one
+   anchor. Equal windows select the same line, so every repeated run of ``min_words`` words has an anchor in all its
+   places: anchors are the only rows that are compared over all documents.
+2. Join: anchors whose hash occurs once are done; documents without an anchor that recurs leave here.
+3. Extension: from the anchors that recur a match grows both ways, line by line. To the left, a run is tried from each
+   line whose window still holds the anchor; to the right, up to each line from which the fewest lines back that hold
+   ``min_words`` words still do. Runs are compared by hashes of all their lines, for all places at once: a passage in
+   a third of all documents makes one row to look up, never pairs. A maximal repeated run is exactly the union of these.
+4. Deletion: a run goes where an equal one starts earlier (smaller doc_id, then earlier line); the first place stays.
+   Runs of a document become disjoint spans before they are gathered, so long documents cost in proportion.
+
+Line hashes have 64 bits for winnowing and 32 further ones in the comparison of runs.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null doc_id comes before all others; rows
 that repeat doc_id and text are one document and are cleaned alike; a document of which nothing is left has an empty
 text; windows that overlap their own earlier occurrence in one text (a line repeated many times) count as repeats;
-an empty table gives an empty result; other columns pass through, but those named like the counts are replaced.
+repeated runs of fewer than ``min_words`` words stay; an empty table gives an empty result; other columns pass
+through, but those named like the counts are replaced.
 """
 
 from __future__ import annotations
@@ -54,58 +61,106 @@ def words_in(line: Column, odd: Column | None = None) -> Column:
     return F.when(line == "", 0).when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(plain)
 
 
+#: What names a document: whether its id is null, the id, the hash of its text.
+DOC = ["nil", "id", "th"]
+
+
+def named(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` and the columns that name a document, under the names given."""
+    values = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id"), F.lit(0)), F.xxhash64("text")
+    return docs.select("*", *[v.alias(n) for v, n in zip(values, names)])
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, h, n): the lines with words of each document; th tells texts of one id apart."""
-    x = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), F.col("text").rlike(ODD).alias("odd"))
-    x = x.select("doc_id", "th", "odd", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    """(nil, id, th, pos, h, v, n): the lines with words of each document, two hashes of each, its words. Rows that
+    repeat a document collapse on the map side."""
+    x = named(docs.where("text is not null").select("doc_id", "text"), *DOC).withColumn("odd", F.col("text").rlike(ODD))
+    x = x.select(*DOC, "odd", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
     x = x.withColumn("line", trimmed(F.col("line"), F.col("odd"))).where("line <> ''")
-    return x.select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), words_in(F.col("line"), F.col("odd")).alias("n"))
+    x = x.select(*DOC, "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("v"), words_in(F.col("line"), F.col("odd")).cast("long").alias("n"))
+    return x.groupBy(*DOC, "pos").agg(*[F.max(c).alias(c) for c in ("h", "v", "n")])
+
+
+def _frames(x: DataFrame, min_words: int):
+    """``x`` with words up to each line (c), before it and in all, and the frames of the fewest lines from a line
+    forward and from it back that hold ``min_words`` words, where there are so many."""
+    doc = W.partitionBy(*DOC)
+    x = x.withColumn("c", F.sum("n").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    x = x.withColumn("before", F.col("c") - F.col("n")).withColumn("all", F.max("c").over(doc))
+    return x, doc.orderBy("before").rangeBetween(0, min_words - 1), doc.orderBy("c").rangeBetween(-(min_words - 1), 0)
+
+
+def winnowed(x: DataFrame, min_words: int) -> DataFrame:
+    """``x`` and ``anchor``: the (hash, line) that the window from this line selects, if the line before did not select it."""
+    x, fore, _ = _frames(x, min_words)
+    x = x.withColumn("least", F.when(F.col("all") - F.col("before") >= min_words, F.min(F.struct("h", "pos")).over(fore)))
+    above = F.lag("least").over(W.partitionBy(*DOC).orderBy("before"))
+    # anchors never move back, so those equal to the one above are all there is of repeats
+    return x.select(*DOC, "pos", "h", "v", "n", F.when(~F.col("least").eqNullSafe(above), F.col("least")).alias("anchor"))
+
+
+def recurring(x: DataFrame) -> DataFrame:
+    """(nil, id, th, pos): the anchors whose hash is that of another anchor too."""
+    anchors = x.where("anchor is not null").select(*DOC, "anchor.pos", "anchor.h")
+    often = anchors.groupBy("h").count().where("count > 1").select("h")
+    return anchors.join(often, "h", "left_semi").select(*DOC, "pos")
 
 
-def windows(x: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, th, a, b, fp, w): each window's first and last line, its fingerprint and the hash of all its lines."""
-    doc = W.partitionBy("doc_id", "th").orderBy("pos")
-    x = x.withColumn("c", F.sum("n").over(doc.rowsBetween(W.unboundedPreceding, 0)).cast("long"))
-    x = x.withColumn("before", F.col("c") - F.col("n")).withColumn("all", F.max("c").over(W.partitionBy("doc_id", "th")))
-    fore = W.partitionBy("doc_id", "th").orderBy("before").rangeBetween(0, min_words - 1)
-    back = W.partitionBy("doc_id", "th").orderBy("c").rangeBetween(-(min_words - 1), 0)
+def runs(x: DataFrame, anchors: DataFrame, min_words: int) -> DataFrame:
+    """(nil, id, th, a, b, fp, w): first and last line, smallest hash and hash of all lines of each run that the
+    extension from ``anchors`` tries."""
+    marks = anchors.select(*DOC, "pos", *[F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("v", "int"), ("n", "long"))], F.lit(1).alias("mark"))
+    both = x.select(*DOC, "pos", "h", "v", "n", F.lit(0).alias("mark")).unionByName(marks).repartition(*DOC)
+    both = both.groupBy(*DOC, "pos").agg(*[F.max(c).alias(c) for c in ("h", "v", "n", "mark")])
+    both = both.withColumn("any", F.max("mark").over(W.partitionBy(*DOC))).where("any = 1").drop("any")
+    both, fore, back = _frames(both, min_words)
 
     def made(frame) -> list[Column]:
-        return [F.min("pos").over(frame), F.max("pos").over(frame), F.min("h").over(frame), F.xxhash64(F.collect_list("h").over(frame))]
+        hashes = F.xxhash64(F.collect_list("h").over(frame), F.collect_list("v").over(frame))
+        return [F.min("pos").over(frame), F.max("pos").over(frame), F.min("h").over(frame), hashes, F.max("mark").over(frame)]
 
-    x = x.select("*", *[c.alias(f"f{i}") for i, c in enumerate(made(fore))])
-    x = x.select("*", *[c.alias(f"b{i}") for i, c in enumerate(made(back))])
-    pick = lambda k: F.struct(*[F.col(f"{k}{i}").alias(n) for i, n in enumerate(("a", "b", "fp", "w"))])
-    both = F.array_compact(F.array(F.when(F.col("all") - F.col("before") >= min_words, pick("f")), F.when(F.col("c") >= min_words, pick("b"))))
-    return x.select("doc_id", "th", F.explode(F.array_distinct(both)).alias("x")).select("doc_id", "th", "x.*")
+    names = ("a", "b", "fp", "w", "mark")
+    both = both.select("*", *[c.alias(f"f_{n}") for c, n in zip(made(fore), names)])
+    both = both.select("*", *[c.alias(f"b_{n}") for c, n in zip(made(back), names)])
+    pick = lambda k: F.struct(*[F.col(f"{k}_{n}").alias(n) for n in names[:4]])
+    found = F.array(
+        F.when((F.col("all") - F.col("before") >= min_words) & (F.col("f_mark") == 1), pick("f")),
+        F.when((F.col("c") >= min_words) & (F.col("b_mark") == 1), pick("b")),
+    )
+    return both.select(*DOC, F.explode(F.array_distinct(F.array_compact(found))).alias("x")).select(*DOC, "x.*")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, gone): for each document with lines to delete, their numbers (from 0)."""
-    found = written(windows(lines(docs.select("doc_id", "text").distinct()), min_words), "line-windows")
-    at = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "th", "a")
+    """(nil, id, th, gone): for each document with lines to delete, disjoint spans (a, b) of their numbers (from 0) in order."""
+    x = written(winnowed(lines(docs), min_words), "line-anchors")
+    found = written(runs(x, recurring(x), min_words), "line-runs")
+    at = F.struct((~F.col("nil")).alias("has"), "id", "th", "a")
     first = found.groupBy("fp", "w").agg(F.min(at).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = found.join(first, ["fp", "w"]).where(at > F.col("first"))
-    spans = later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.a, s.b))))
-    return spans.select("doc_id", "th", gone.alias("gone"))
+    later = found.join(first, ["fp", "w"]).where(at > F.col("first")).groupBy(*DOC, "a").agg(F.max("b").alias("b"))
+    doc = W.partitionBy(*DOC).orderBy("a")
+    upto = F.max("b").over(doc.rowsBetween(W.unboundedPreceding, -1))
+    later = later.withColumn("starts", F.when(F.col("a") <= upto, 0).otherwise(1)).withColumn("span", F.sum("starts").over(doc))
+    spans = later.groupBy(*DOC, "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """``docs`` with later repeats deleted from ``text``; optionally the numbers of lines before and deleted."""
-    th, gone, has = (spare(docs, c) for c in ("_th", "_gone", "_kept"))
-    plan = repeated_lines(docs, min_words).select(F.col("doc_id").alias(f"{th}id"), F.col("th").alias(f"{th}t"), F.col("gone").alias(gone))
-    x = docs.withColumn(th, F.xxhash64("text"))
-    x = x.join(plan, x["doc_id"].eqNullSafe(plan[f"{th}id"]) & (x[th] == plan[f"{th}t"]), "left")
-    parts = split_lines(F.col("text"))
-    # blank lines inside a deleted run go with it
-    kept = F.filter(parts, lambda line, i: ~F.array_contains(F.col(gone), i))
-    text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    *keys, gone = names = [spare(docs, f"_{c}") for c in (*DOC, "gone")]
+    plan = repeated_lines(docs.select("doc_id", "text"), min_words).toDF(*names)
+    x = named(docs, *keys).join(plan, keys, "left")
+    parts, cut = split_lines(F.col("text")), F.col(gone).isNotNull() & F.col("text").isNotNull()
+    # what lies between the spans; blank lines inside a deleted run go with it
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s.b + 1))
+    stops = F.concat(F.transform(gone, lambda s: s.a), F.array(F.size(parts)))
+    kept = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice(parts, a + 1, b - a)))
+    text = F.when(cut, F.array_join(kept, "\n")).otherwise(F.col("text"))
     extra = []
     if n_lines:
         extra.append(F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(parts)).cast("long").alias(n_lines))
     if n_removed:
-        extra.append(F.when(F.col(gone).isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long").alias(n_removed))
+        removed = F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + s.b - s.a + 1)
+        extra.append(F.when(cut, removed).otherwise(0).cast("long").alias(n_removed))
     keep = [c for c in docs.columns if c.lower() not in {(n or "").lower() for n in (n_lines, n_removed)}]
     return x.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], *extra)
 

@@ -150,6 +150,28 @@ def test_line_dedup_guarantee_any_maximal_run_goes_whole(spark):
     assert out == {0: docs[0], 1: "other before\nother after", 2: "", 3: docs[3]}
 
 
+def test_line_dedup_compares_anchors_only_and_extends_from_those_that_recur(spark):
+    rnd = random.Random(9)
+    own = lambda: [" ".join(f"{rnd.randrange(10**6)}" for _ in range(8)) for _ in range(200)]
+    shared = own()[:40]
+    docs = frame(spark, ["\n".join([*own(), *shared, *own()]) for _ in range(3)])
+    x = line_dedup.winnowed(line_dedup.lines(docs), 50).cache()
+    anchors = x.where("anchor is not null").count()
+    assert anchors < 0.4 * x.count()  # 2 in 8 lines of windows of seven
+    again = line_dedup.recurring(x)
+    assert 0 < again.count() < 3 * 20
+    tried = line_dedup.runs(x, again, 50).count()
+    assert tried < 3 * 2 * 60 < x.count()
+    out = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(docs).collect()}
+    assert [len(out[i]) for i in range(3)] == [440, 400, 400]
+
+
+def test_line_dedup_takes_long_texts_in_proportion(spark):
+    text = "\n".join(" ".join(f"{i * 7 + k}" for k in range(6)) for i in range(40_000))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame(spark, [text, "a\n" + text + "\nb"])).collect()}
+    assert out == {0: text, 1: "a\nb"}
+
+
 def test_line_dedup_repeated_rows_null_ids_and_clashing_columns(spark):
     text = " ".join(f"a{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, 1, 2), (1, text, 3, 4), (None, text, 5, 6), (2, text + "\nz", 7, 8)], "doc_id long, text string, _th long, h long")
@@ -252,6 +274,27 @@ def test_simhash_links_lose_no_pair_even_in_cut_buckets(spark, chunk, blocks):
             assert not members & got.keys()
 
 
+def test_simhash_pivot_table_discards_pairs_of_buckets(spark):
+    """Random fingerprints that share 22 bits meet in buckets; the table leaves few to the XOR and loses no link."""
+    rnd = random.Random(10)
+    fps = {(k << 42) | rnd.getrandbits(42) for k in range(60) for _ in range(20)} | {(k << 42) | rnd.getrandbits(42) for k in range(100, 160) for _ in range(3)}
+    fps |= {f ^ 0b1011 for f in sorted(fps)[:50]}
+    signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = simhash.discards(signed).first()
+    met = linked = 0
+    for m in simhash.block_masks():
+        groups = {}
+        for x in fps:
+            groups.setdefault(x & m, []).append(x)
+        for g in groups.values():
+            pairs = [(a, b) for i, a in enumerate(g) for b in g[i + 1 :]]
+            met += len(pairs)
+            linked += sum((a ^ b).bit_count() <= 4 for a, b in pairs)
+    assert (got["met"], got["linked"]) == (met, linked) and linked
+    assert got["discarded"] > 0.9 * (met - linked)
+    assert simhash.discards(signed.limit(0)).first()["met"] == 0
+
+
 def test_simhash_keeps_one_and_survives_nulls_and_nothing(spark):
     df = spark.createDataFrame([(3, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (7, None), (8, ""), (9, "q")], "doc_id long, text string")
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.keep_one(df).collect()) == [(False, 2), (False, 7), (False, 9), (True, 0)]
