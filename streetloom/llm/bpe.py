@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, with_fields
+from .common import arrow_batches, documents, with_fields
 from .vocab import Recent, Specials, Vocabulary, blocks, pieces, symbols
 
 #: Blocks that a worker remembers before it starts anew.
@@ -201,7 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     """``docs`` and a column of token ids (array<int>); with ``decoded``, also the text that these ids give. A worker
     remembers ``kept`` blocks at most: fewer take less memory and more time, and give the same ids."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     shared = Shared(spark, path or default_path())
     docs = docs.drop(out, *([decoded] if decoded else []))
     extra = [(out, "array<int>"), *([(decoded, "string")] if decoded else [])]
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
 def decode(frame: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``frame`` and the text that the ids in column ``ids`` give; null ids give null."""
     spark = frame.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     shared = Shared(spark, path or default_path())
 
     frame = frame.drop(out)

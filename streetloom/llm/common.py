@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-#: Rows of one Arrow batch: a batch of the longest texts must fit a Python worker.
-ARROW_ROWS = 256
+#: Bytes and rows of one Arrow batch: texts have no length limit, so bytes bound what a Python worker holds at once.
+ARROW_BYTES, ARROW_ROWS = 2 << 20, 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -19,10 +19,12 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Get ready for Arrow functions: bound the rows of a batch (texts have no length limit), send the modules out."""
+def arrow_batches(spark: SparkSession) -> None:
+    """Get ready for Arrow functions: bound batches by bytes, send the modules out. The settings are read when a plan
+    runs, so all operators set the same ones."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def crc_mod(doc_id: str, n: int) -> Column:
@@ -31,9 +33,12 @@ def crc_mod(doc_id: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary
+    one; a cluster has none that would do, so that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="streetloom-")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_mod, documents, written
+from .common import arrow_batches, crc_mod, documents, written
 from .toxicity import logistic
 
 LABELLED = 20_000
@@ -105,7 +105,7 @@ def metadata_vector(source: str | None, lang: str | None, n_chars: int | None) -
 
 def vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, t, m): both views of each document as half-precision vectors."""
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
 
     def run(batches):
         view = TextView()

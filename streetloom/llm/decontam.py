@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, spare
+from .common import arrow_batches, documents, spare
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -125,7 +125,7 @@ def _blocks(spark: SparkSession, bench: DataFrame, block_words: int) -> list[_Bl
 def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, out: str = "hits") -> DataFrame:
     """``docs`` and a column ``out``: struct(n_words, words array<int> that are hit, items array<string>)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     kind = "n_words bigint, words array<int>, items array<string>"
     df = docs.withColumn(out, F.expr(f"cast(null as struct<{kind.replace(' bigint', ':bigint').replace(' array', ':array')}>)"))
     for block in _blocks(spark, bench, block_words):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_mod, documents, with_fields
+from .common import arrow_batches, crc_mod, documents, with_fields
 
 PER_LANGUAGE = 3_000
 BUCKETS = 1 << 16
@@ -70,7 +70,7 @@ class Model:
 def fit(docs: DataFrame, learn, per_language: int = PER_LANGUAGE) -> Model:
     """Count trigrams of the documents that meet ``learn``."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
     chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("doc_id", "lang")
@@ -197,7 +197,7 @@ class Predictor:
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs``, lang_pred and score, and the selected languages with their proportions."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "languages", "proportions")
 

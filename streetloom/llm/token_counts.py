@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import KEPT_BLOCKS, LONGEST_KEPT, Encoder, Shared, _of, default_path
-from .common import arrow_rows, documents, with_fields
+from .common import arrow_batches, documents, with_fields
 from .vocab import _SPLIT_SPACE, Recent, Vocabulary, blocks, pieces, symbols
 
 KEPT_STATES = 1 << 17
@@ -157,7 +157,7 @@ def text_tokens(machine: Transducer, text: str, chunk: int = CHUNK) -> int:
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``docs`` and its token counts (long)."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     shared = Shared(spark, path or default_path())
     docs = docs.drop(out)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_mod, documents, spare, with_fields, written
+from .common import arrow_batches, crc_mod, documents, spare, with_fields, written
 
 SAMPLE_ROWS = 20_000
 MAX_CANDIDATES = 100_000
@@ -152,7 +152,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40)
 def fit(docs: DataFrame, labels: DataFrame, learn, calibrate) -> Model:
     """Learn from labelled rows; ``learn`` and ``calibrate`` are conditions on doc_id that part the rows."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("lexicon", learn).where(learn | calibrate).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS rows of three small columns are broadcast; equal texts count once
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, calibrate) -> Model:
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` and a column with each text's score from 0 to 1."""
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop(out)
 
