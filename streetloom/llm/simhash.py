@@ -4,12 +4,14 @@ Fingerprint: A-Z lower-cased, words ``[^\x20\x09-\x0D]+``, 4-word shingles with
 bit is 1 if it is set in over half of the hashes. Fingerprints link at 4 or fewer differing bits.
 
 Equal fingerprints become one before anything is compared, so exact copies cost one row. A pivot table alone prunes
-but does not group, so pairs are met in buckets first: of ``blocks`` blocks of the fingerprint two within 4 bits have
+but does not group, so pairs are met in buckets: of ``blocks`` blocks of the fingerprint two within 4 bits have
 at least ``blocks - 4`` equal, so every linked pair meets in a bucket for some choice of that many blocks (no pair is
-lost). Inside a bucket each fingerprint has its Hamming distances to ``PIVOTS`` reference fingerprints; by the
-triangle inequality no pair with a coordinate difference over 4 can link. Rows are sorted by the first pivot, only
-windows of that coordinate are compared, the maximum difference over all pivots discards, and the XOR verifies the
-survivors. A task keeps a union-find over what it has seen and emits a spanning forest, never all pairs of a group.
+lost). Every pair that meets goes through the pivot table: the Hamming distances of each fingerprint to ``PIVOTS``
+reference fingerprints, taken from the data and far apart. By the triangle inequality a pair whose distances to any
+pivot differ by more than 4 cannot link and is discarded; the XOR verifies the survivors. A task computes the table for
+the rows of each batch once (16 bytes a row cost less to compute than to shuffle); in large buckets rows are sorted by
+the first pivot, so only windows of that coordinate are looked at. ``discards`` counts pairs met, discarded and linked.
+A task keeps a union-find over what it has seen and emits a spanning forest, never all pairs of a group.
 
 Buckets with more than ``CHUNK`` fingerprints are cut by hash into chunks, and every pair of chunks is a bucket of its
 own: no task holds more than two chunks, whatever the size of a group. Components come from rounds of large-star and
@@ -30,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, with_fields, written
+from .common import arrow_batches, documents, with_fields, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 BLOCKS = 6
 PIVOTS = 16
+#: Fingerprints among which pivots are chosen (smallest hash first); any choice gives the same links.
+PIVOT_SAMPLE = 2_048
+#: Buckets up to this size are compared by columns of pairs, larger ones by windows of the first pivot.
+SMALL = 8
 CHUNK = 4096
 #: A-Z to a-z, the six white space characters to a blank.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -63,7 +69,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """``docs`` and the fingerprint of each text as a (signed) long; the text stays."""
-    arrow_rows(docs.sparkSession)
+    arrow_batches(docs.sparkSession)
     docs = docs.drop(out)
 
     def run(batches):
@@ -81,9 +87,15 @@ def block_masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - bits)]
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: 0 and multiples of an odd constant modulo 2**64."""
-    return (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+def chosen_pivots(fps: DataFrame, n: int = PIVOTS) -> np.ndarray:
+    """Up to ``n`` fingerprints of ``fps``, each as far as can be from those before it."""
+    got = fps.select("fp").where("fp is not null").orderBy(F.xxhash64("fp"), "fp").limit(PIVOT_SAMPLE).collect()
+    sample = np.array([r["fp"] for r in got], np.int64).view(np.uint64)
+    out, far = [], np.full(len(sample), 65)
+    while len(out) < min(n, len(sample)):
+        out.append(sample[int(far.argmax())])
+        far = np.minimum(far, np.bitwise_count(sample ^ out[-1]))
+    return np.array(out or [0], np.uint64)
 
 
 class Forest:
@@ -107,33 +119,79 @@ class Forest:
             self.edges.append((a, b))
 
 
-def link_bucket(fps: np.ndarray, forest: Forest, bits: int = BITS) -> int:
-    """Join all pairs of ``fps`` within ``bits``, and give the number of pairs verified by XOR."""
-    if len(fps) < 2:
-        return 0
-    if len(fps) == 2:
-        if int(fps[0] ^ fps[1]).bit_count() <= bits:
-            forest.join(int(fps[0]), int(fps[1]))
-        return 1
-    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int8)  # the pivot distance table
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    verified = 0
-    ends = np.searchsorted(table[:, 0], table[:, 0] + bits, side="right")
-    for i in range(len(fps) - 1):
-        near = np.arange(i + 1, ends[i])
-        if len(near) > 16:
-            near = near[(np.abs(table[near] - table[i]) <= bits).all(axis=1)]
-        if len(near):
-            verified += len(near)
-            for j in near[np.bitwise_count(fps[near] ^ fps[i]) <= bits]:
-                forest.join(int(fps[i]), int(fps[j]))
-    return verified
+class Sweep:
+    """One task's buckets: every pair that meets is held against the pivot table, survivors against the XOR."""
+
+    def __init__(self, pivots: np.ndarray, bits: int = BITS):
+        self.pivots, self.bits, self.forest = pivots, bits, Forest()
+        self.met = self.discarded = self.linked = 0
+
+    def table(self, fps: np.ndarray) -> np.ndarray:
+        """Hamming distances of each fingerprint to the pivots."""
+        return np.bitwise_count(fps[:, None] ^ self.pivots[None, :]).astype(np.int8)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray, ta: np.ndarray, tb: np.ndarray) -> None:
+        near = (np.abs(ta - tb) <= self.bits).all(axis=1)
+        a, b = a[near], b[near]
+        link = np.bitwise_count(a ^ b) <= self.bits
+        self.discarded += len(near) - len(a)
+        self.linked += int(link.sum())
+        for x, y in zip(a[link].tolist(), b[link].tolist()):
+            self.forest.join(x, y)
+
+    def same_size(self, fps: np.ndarray, table: np.ndarray) -> None:
+        """Buckets of one size: (buckets, size) fingerprints and their table."""
+        m, size = fps.shape
+        self.met += m * size * (size - 1) // 2
+        for i in range(size):
+            for j in range(i + 1, size):
+                self.pairs(fps[:, i], fps[:, j], table[:, i], table[:, j])
+
+    def large(self, fps: np.ndarray) -> None:
+        table = self.table(fps)
+        order = np.argsort(table[:, 0], kind="stable")
+        fps, table = fps[order], table[order]
+        n = len(fps)
+        self.met += n * (n - 1) // 2
+        ends = np.searchsorted(table[:, 0], table[:, 0] + self.bits, side="right")
+        self.discarded += int((n - ends).sum())  # beyond the window of the first pivot
+        for i in range(n - 1):
+            k = slice(i + 1, ends[i])
+            if i + 1 < ends[i]:
+                self.pairs(np.broadcast_to(fps[i], ends[i] - i - 1), fps[k], table[i : i + 1], table[k])
+
+    def bucket(self, fps: np.ndarray) -> None:
+        if len(fps) > SMALL:
+            self.large(fps)
+        elif len(fps) > 1:
+            self.same_size(fps[None, :], self.table(fps)[None])
+
+    def buckets(self, fps: np.ndarray, cuts: np.ndarray) -> None:
+        """Whole buckets that begin at ``cuts`` (the last cut is the end)."""
+        sizes = np.diff(cuts)
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+            rows = cuts[:-1][sizes == size][:, None] + np.arange(size)
+            self.same_size(fps[rows], self.table(fps[rows].ravel()).reshape(*rows.shape, -1))
+        for k in np.flatnonzero(sizes > SMALL):
+            self.large(fps[cuts[k] : cuts[k + 1]])
 
 
 def edges(fps: DataFrame, blocks: int = BLOCKS, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     """Spanning edges (a, b) between the distinct longs in column ``fp`` that are within ``bits`` of each other."""
+    return _swept(fps, blocks, bits, chunk, counts=False)
+
+
+def discards(fps: DataFrame, blocks: int = BLOCKS, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
+    """One row: pairs that met in buckets, those that the pivot table discarded, those within ``bits`` (a pair counts
+    in each bucket where it meets)."""
+    names = ("met", "discarded", "linked")
+    return _swept(fps, blocks, bits, chunk, counts=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+
+def _swept(fps: DataFrame, blocks: int, bits: int, chunk: int, counts: bool) -> DataFrame:
     spark = fps.sparkSession
+    arrow_batches(spark)
+    shared = spark.sparkContext.broadcast(chosen_pivots(fps))
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, bits)]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)]))
     rows = fps.select("fp", keys.alias("k")).select("fp", "k.mask", "k.key")
@@ -153,8 +211,8 @@ def edges(fps: DataFrame, blocks: int = BLOCKS, bits: int = BITS, chunk: int = C
     dealt = rows.repartition(n, "mask", "key", "c", "d").sortWithinPartitions("mask", "key", "c", "d")
 
     def run(batches):
-        forest, rest, last = Forest(), [], None
-        emitted = 0
+        sweep, rest, last = Sweep(shared.value, bits), [], None
+        found, emitted = sweep.forest.edges, 0
         for batch in batches:
             cols = [np.asarray(batch.column(c)) for c in ("mask", "key", "c", "d")]
             fp = np.asarray(batch.column("fp")).view(np.uint64)
@@ -167,28 +225,22 @@ def edges(fps: DataFrame, blocks: int = BLOCKS, bits: int = BITS, chunk: int = C
             cuts = np.flatnonzero(new)
             if not len(cuts):
                 rest.append(fp)
-            else:
-                link_bucket(np.concatenate([*rest, fp[: cuts[0]]]), forest)
-                ends = np.append(cuts[1:], len(fp))
-                size = ends - cuts
-                twos = cuts[:-1][size[:-1] == 2]
-                a, b = fp[twos], fp[twos + 1]
-                ok = np.bitwise_count(a ^ b) <= bits
-                for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-                    forest.join(x, y)
-                for k in np.flatnonzero(size[:-1] > 2):
-                    link_bucket(fp[cuts[k] : ends[k]], forest)
+            else:  # the bucket under way ends, the last one may go on in the next batch
+                sweep.bucket(np.concatenate([*rest, fp[: cuts[0]]]))
+                sweep.buckets(fp, cuts)
                 rest = [fp[cuts[-1] :]]
             last = tuple(int(c[-1]) for c in cols)
-            if len(forest.edges) - emitted > 10_000:
-                yield _edge_batch(forest.edges[emitted:])
-                emitted = len(forest.edges)
+            if not counts and len(found) - emitted > 10_000:
+                yield _edge_batch(found[emitted:])
+                emitted = len(found)
         if rest:
-            link_bucket(np.concatenate(rest), forest)
-        yield _edge_batch(forest.edges[emitted:])
+            sweep.bucket(np.concatenate(rest))
+        if counts:
+            yield pa.RecordBatch.from_pydict({c: pa.array([getattr(sweep, c)], pa.int64()) for c in ("met", "discarded", "linked")})
+        else:
+            yield _edge_batch(found[emitted:])
 
-    arrow_rows(spark, 10_000)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "met long, discarded long, linked long" if counts else "a long, b long")
 
 
 def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
