@@ -1,31 +1,34 @@
 """Quality classification by co-training a text view and a metadata view.
 
 Each document becomes two small vectors in one pass: the text view (hashed words, hashed token shapes, shares of
-letter kinds, repeated lines) and the metadata view (source, language, size; no text). A logistic classifier for each
-view starts from labelled rows. In every round both score *all* unlabelled vectors, and each hands the other its most
-confident pseudo-labels: at most ``PER_ROUND`` of each class, only where its calibrated probability is beyond
-``CONFIDENT``; equal vectors count once. After the rounds each view is calibrated (a logistic curve on labelled rows
-kept apart), and the calibrated log-odds of both views are added, less the prior that both contain, to score all
-documents.
+letter kinds) and the metadata view (source, language, size in bands, and the layout of the page: lines, their lengths,
+repeated and blank ones, bytes a character; no words). A logistic classifier for each view starts from labelled rows.
+In every round both score *all* unlabelled vectors, and each hands the other its most confident pseudo-labels: the
+``PER_ROUND`` highest of each class among those whose calibrated probability is at least ``CONFIDENT`` and whose odds
+are at least ``LIFT`` times those of the class at large, so that a view which only repeats the prior teaches nothing.
+Equal vectors count once. After the rounds each view is calibrated (a logistic curve on labelled rows kept apart), and
+the calibrated log-odds of both views are added, less the prior that both contain, to score all documents.
 
 Bounded samples: ``LABELLED`` labelled rows (smallest hash of their id) start the training, and pseudo-labels are
 bounded by rounds and ``PER_ROUND``; scoring and the pool cover all documents. The vectors are written once to the
 shared folder, so rounds do not read texts again.
 
 Edge cases: null or empty texts and null metadata have vectors of their own; without labels of both classes every
-score is the prior (0.5 without any label); labels that are null or not 0 or 1 and null ids teach nothing; repeated
-rows get equal scores; an empty table gives an empty result; other columns are ignored.
+score is the prior (0.5 without any label); labels that are null or not 0 or 1 and null ids teach nothing; equally
+confident pseudo-labels are taken by smallest id; repeated rows get equal scores; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, crc_mod, documents, written
@@ -34,10 +37,13 @@ from .toxicity import logistic
 LABELLED = 20_000
 ROUNDS = 3
 PER_ROUND = 200
-CONFIDENT = 0.95
+CONFIDENT = 0.8
+LIFT = 2.0
 PSEUDO_WEIGHT = 0.5
-WORDS, SHAPES, SHARES = 128, 96, 10
-SOURCES, LANGUAGES = 64, 16
+WORDS, SHAPES, SHARES = 128, 96, 9
+SOURCES, LANGUAGES, SIZES, LAYOUT = 64, 16, 96, 9
+#: Bands of the size for each doubling.
+BANDS = 4
 _RUNS = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\dA-Z_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+"))
 KEPT_TOKENS = 300_000
 #: Longer tokens are looked at anew each time, so that the table stays small.
@@ -80,7 +86,6 @@ class TextView:
         n = np.fromiter(bag.values(), np.float64, len(bag))
         out[1 : 1 + WORDS] = np.sqrt(np.bincount(pairs[:, 0], n, WORDS) / len(tokens))
         out[1 + WORDS : 1 + WORDS + SHAPES] = np.sqrt(np.bincount(pairs[:, 1], n, SHAPES) / len(tokens))
-        lines = [x for x in text.split("\n") if x.strip()]
         letters = sum(len(t) * k for t, k in bag.items())
         upper = sum(k for t, k in bag.items() if t.isupper() and len(t) > 1)
         alpha = sum(k for t, k in bag.items() if t.isalpha())
@@ -88,18 +93,35 @@ class TextView:
         bare = sum(k for t, k in bag.items() if not any(map(str.isalnum, t)))
         out[-SHARES:] = [
             upper / len(tokens), alpha / len(tokens), odd / len(tokens), bare / len(tokens), len(bag) / len(tokens), min(letters / len(tokens), 40) / 10,
-            1 - len(set(lines)) / max(1, len(lines)), max(bag.values()) / len(tokens), np.log1p(len(tokens)) / 10, 0,
+            max(bag.values()) / len(tokens), np.log1p(len(tokens)) / 10, 0,
         ]
         return out
 
 
-def metadata_vector(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(1 + SOURCES + LANGUAGES + 3, np.float32)
+def layout(text: str | None) -> list[float]:
+    """How a page is laid out, whatever it says."""
+    text = text or ""
+    every = text.split("\n")
+    full = [x for x in every if x and not x.isspace()]
+    if not full:
+        return [0.0] * LAYOUT
+    size, seen = np.fromiter(map(len, full), np.float64, len(full)), Counter(full)
+    mean = size.mean()
+    return [
+        np.log1p(len(full)) / 5, np.log1p(mean) / 5, np.log1p(size.max()) / 5, np.log1p(size.min()) / 5, min(size.std() / mean, 5),
+        1 - len(seen) / len(full), max(seen.values()) / len(full), 1 - len(full) / len(every), len(text.encode("utf-8", "surrogatepass")) / len(text) - 1,
+    ]
+
+
+def metadata_vector(text: str | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    out = np.zeros(1 + SOURCES + LANGUAGES + SIZES + LAYOUT + 1, np.float32)
     out[0] = 1
     out[1 + crc32(str(source).encode("utf-8", "surrogatepass")) % SOURCES] = 1
     out[1 + SOURCES + crc32(str(lang).encode("utf-8", "surrogatepass")) % LANGUAGES] = 1
-    size = np.log1p(max(0, n_chars or 0)) / 10
-    out[-3:] = [size, size * size, n_chars is None]
+    if n_chars is not None:
+        out[1 + SOURCES + LANGUAGES + min(SIZES - 1, int(BANDS * np.log2(max(0, n_chars) + 1)))] = 1
+    out[-1 - LAYOUT : -1] = layout(text)
+    out[-1] = n_chars is None
     return out
 
 
@@ -112,7 +134,7 @@ def vectors(docs: DataFrame) -> DataFrame:
         for batch in batches:
             text, source, lang, n = (batch.column(c).to_pylist() for c in ("text", "source", "lang", "n_chars"))
             t = [view.vector(x).astype("<f2").tobytes() for x in text]
-            m = [metadata_vector(*x).astype("<f2").tobytes() for x in zip(source, lang, n)]
+            m = [metadata_vector(*x).astype("<f2").tobytes() for x in zip(text, source, lang, n)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "t", "m"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).mapInArrow(
@@ -154,8 +176,11 @@ def _view(x, y, w, x_cal, y_cal) -> View:
 
 
 class Model:
+    """Both views, the prior, and what they were taught: for each round the numbers of (view, class) pseudo-labels."""
+
     def __init__(self, text: View | None, meta: View | None, prior: float):
         self.text, self.meta, self.prior = text, meta, prior
+        self.gained: list[dict[tuple[str, int], int]] = []
 
     def odds(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.text is None:
@@ -209,30 +234,40 @@ def co_train(vecs: DataFrame, labels: DataFrame, learn, calibrate, rounds: int =
             made.append(_view(xs, ys, w, x[v, False], y[False]))
         return Model(*made, prior)
 
-    model = fit_both()
+    def confident(source: str, label: int):
+        p, base = (F.col(source), prior) if label else (1 - F.col(source), 1 - prior)
+        return p, (p >= CONFIDENT) & (p * (1 - base) >= LIFT * (1 - p) * base)
+
+    ways = [(source, to, label) for source, to in (("p_text", "m"), ("p_meta", "t")) for label in (1, 0)]
+    model, gained = fit_both(), []
     for _ in range(rounds):
-        found = scored(pool.select("doc_id", "t", "m"), model)
-        picks = []
-        for source, other in (("p_text", "m"), ("p_meta", "t")):
-            for label, p in ((1, F.col(source)), (0, 1 - F.col(source))):
-                best = found.where(p >= CONFIDENT).orderBy(p.desc(), "doc_id").limit(PER_ROUND + len(used)).select(F.lit(other).alias("to"), F.lit(label).alias("y"), "doc_id", "t", "m")
-                picks.append([r for r in best.collect() if (r["doc_id"], other) not in used][:PER_ROUND])
-        new = [r for part_ in picks for r in part_]
+        any_way = reduce(Column.__or__, [confident(source, label)[1] for source, _, label in ways])
+        found = written(scored(pool.select("doc_id", "t", "m"), model).where(any_way), "cotraining-confident")
+        new, counts = [], {}
+        for source, to, label in ways:
+            p, ok = confident(source, label)
+            # those used before and PER_ROUND more: at most (rounds + 1) * 2 * PER_ROUND small vectors
+            best = found.where(ok).orderBy(p.desc(), "doc_id").limit(PER_ROUND + len(used)).select("doc_id", "t", "m").collect()
+            picks = [r for r in best if (r["doc_id"], to) not in used][:PER_ROUND]
+            new += [(to, label, r) for r in picks]
+            counts["text" if to == "t" else "meta", label] = len(picks)
+        gained.append(counts)
         if not new:
             break
         for v in "tm":
-            mine = [r for r in new if r["to"] == v]
+            mine = [(y, bytes(r[v])) for to, y, r in new if to == v]
             if mine:
-                extra[v] = (np.concatenate([extra[v][0], matrix([bytes(r[v]) for r in mine])]), np.concatenate([extra[v][1], [r["y"] for r in mine]]))
-        used |= {(r["doc_id"], r["to"]) for r in new}
+                extra[v] = (np.concatenate([extra[v][0], matrix([x for _, x in mine])]), np.concatenate([extra[v][1], [y for y, _ in mine]]))
+        used |= {(r["doc_id"], to) for to, _, r in new}
         model = fit_both()
+    model.gained = gained
     return model
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn, calibrate) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, learn, calibrate, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, p_text, p_meta, score and predicted for all documents."""
     vecs = written(vectors(docs), "cotraining-vectors")
-    model = co_train(vecs, labels, learn, calibrate)
+    model = co_train(vecs, labels, learn, calibrate, rounds)
     return scored(vecs, model).select("doc_id", "p_text", "p_meta", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -176,14 +176,42 @@ def test_co_training_scores_held_out_documents(spark, tables):
     assert got.select(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
 
 
-def test_co_training_exchanges_pseudo_labels(spark, tables, monkeypatch):
-    docs, labels = tables
-    sizes = []
-    real = cotraining.weighted_logistic
-    monkeypatch.setattr(cotraining, "weighted_logistic", lambda x, y, w, **k: sizes.append((len(y), w.min())) or real(x, y, w, **k))
-    vecs = cotraining.vectors(docs)
-    cotraining.co_train(vecs, labels.where("doc_id < 200"), F.col("doc_id") % 4 < 2, F.col("doc_id") % 4 == 3)
-    assert len(sizes) >= 4 and sizes[-1][0] > sizes[1][0] and sizes[-1][1] == cotraining.PSEUDO_WEIGHT
+def test_co_training_exchanges_pseudo_labels_both_ways(spark):
+    """Junk shouts (words) and comes in very short lines (layout); some of it shows only one of the two."""
+    rnd = random.Random(3)
+    docs, labels = [], []
+    for i in range(1600):
+        words = ["".join(rnd.choice(["th", "er", "on", "an", "in", "ou"]) for _ in range(rnd.randint(1, 4))) for _ in range(40)]
+        junk = i % 3 == 0
+        shout, short = (True, True) if junk and i % 4 else (junk and i % 8 == 0, junk and i % 8 == 4)
+        words = [w.upper() + "!!" if shout else w for w in words]
+        step = 2 if short else 20
+        text = "\n".join(" ".join(words[k : k + step]) for k in range(0, 40, step))
+        docs.append((i, text, "en", f"src{i % 5}", len(text)))
+        labels.append((i, int(not junk), 0))
+    vecs = cotraining.vectors(spark.createDataFrame(docs, DOCS)).cache()
+    known = spark.createDataFrame(labels[:160], LABELS)
+    parts = F.col("doc_id") % 4 < 2, F.col("doc_id") % 4 == 3
+    none, full = (cotraining.co_train(vecs, known, *parts, rounds=n) for n in (0, 3))
+    assert none.gained == [] and len(full.gained) == 3
+    for view in ("text", "meta"):
+        for label in (0, 1):
+            assert sum(g[view, label] for g in full.gained) > 0, (view, label)
+    p = {k: {r["doc_id"]: (r["p_text"], r["p_meta"]) for r in cotraining.scored(vecs, m).collect()} for k, m in (("none", none), ("full", full))}
+    for side in (0, 1):
+        assert max(abs(p["none"][i][side] - p["full"][i][side]) for i in range(1600)) > 0.01
+    right = lambda m: sum((r["score"] >= 0.5) == (r["doc_id"] % 3 != 0) for r in cotraining.scored(vecs, m).collect() if r["doc_id"] >= 160) / 1440
+    assert right(full) >= right(none) - 0.01 and right(full) > 0.95
+
+
+def test_co_training_takes_ties_by_id_and_null_metadata(spark):
+    """Equal vectors are one pseudo-label, of the smallest id; null metadata has a vector of its own."""
+    docs = [(i, ("fine words here " if i % 2 else "JUNK!! JUNK!!\n") * 9, None, None, None) for i in range(200)]
+    df = spark.createDataFrame(docs, DOCS)
+    model = cotraining.co_train(cotraining.vectors(df), spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS), F.col("doc_id") % 3 < 2, F.col("doc_id") % 3 == 2)
+    assert model.gained[0] == {("meta", 1): 1, ("meta", 0): 1, ("text", 1): 1, ("text", 0): 1}
+    assert set(model.gained[1].values()) == {0} and len(model.gained) == 2
+    assert {(r["doc_id"] % 2, r["score"] > 0.5) for r in cotraining.scored(cotraining.vectors(df), model).collect()} == {(0, False), (1, True)}
 
 
 def test_text_view_reads_whole_tokens():
