@@ -52,6 +52,30 @@ def test_folding_undoes_disguise():
     assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold("12 !!") == ""
 
 
+def test_exception_phrases_are_learned(spark):
+    """A word that is toxic but for one phrase; null labels teach nothing."""
+    rnd = random.Random(4)
+    fill = lambda: [rnd.choice(["sun", "rain", "tree", "road", "milk", "hill"]) + str(rnd.choice("abcdefgh")) for _ in range(30)]
+    docs, labels = [], []
+    for i in range(900):
+        words, kind = fill(), i % 9
+        at = rnd.randrange(1, 29)
+        if kind in (0, 1, 2):
+            words[at] = "gr0tt"
+        elif i % 36 in (12, 21):
+            words[at : at + 2] = ["Grott", "brewery"]
+        docs.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, None if i % 50 == 49 else int(kind in (0, 1, 2))))
+    df = spark.createDataFrame(docs, DOCS)
+    model = toxicity.fit(df, spark.createDataFrame(labels, LABELS), F.col("doc_id") % 4 < 3, F.col("doc_id") % 4 == 3)
+    assert toxicity.fold("grott") in model.weights and "grott brewery" in model.exceptions
+    matcher = model.matcher()
+    assert matcher.features(toxicity.fold("the grott brewery opens")) == (0.0, 4)
+    assert matcher.features(toxicity.fold("the grott opens"))[0] > 0
+    blank = toxicity.fit(df, spark.createDataFrame([(i, 1, None) for i in range(900)], LABELS), F.col("doc_id") % 4 < 3, F.col("doc_id") % 4 == 3)
+    assert not blank.weights and {r["score"] < 1e-9 for r in toxicity.scored(df, blank).collect()} == {True}
+
+
 def test_matcher_takes_the_heaviest_entry_and_excuses_phrases():
     weights = {toxicity.fold("trash"): 4.0, toxicity.fold("trash")[:-1]: 2.0, toxicity.fold("moron"): 3.0}
     m = toxicity.Matcher(weights)
