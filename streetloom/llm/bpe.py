@@ -1,10 +1,11 @@
 """Exact BPE encoding in linear time by backtracking, and decoding by an offset table.
 
-An Aho-Corasick automaton over all tokens finds the longest token at a place of a word: it is followed as far as the
-word goes, and each of its nodes knows the longest token on the way to it. The encoder goes left to right with the longest token whose pair with the one before it is compatible; where none fits, it marks
-the place as dead and steps back. Two tokens are compatible if merging their joined text gives just these two; that
-is read off their merge trees, and the answers make a table that fills as pairs turn up. A path whose neighbouring
-pairs are all compatible is the very result of applying the merges by rank.
+An Aho-Corasick automaton over all tokens walks a word once and gives the longest token at each place where the last
+one ended. The encoder takes these from left to right as long as each is compatible with the one before it. Where one
+is not, it takes the next shorter token; where none fits, it marks the place as dead, steps back, and starts the
+automaton again at the place it goes on from; every place dies once at most. Two tokens are compatible if merging their
+joined text gives just these two; that is read off their merge trees, and the answers make a table that fills as pairs
+turn up. A path whose neighbouring pairs are all compatible is the very result of applying the merges by rank.
 
 White space ends every word, so blocks without white space are encoded alone, and a bounded table keeps frequent ones.
 
@@ -29,6 +30,8 @@ from .vocab import Recent, Specials, Vocabulary, blocks, pieces, symbols
 
 #: Blocks that a worker remembers before it starts anew.
 KEPT_BLOCKS = 1 << 18
+#: Symbols that the automaton is given at once: starting it costs what it is given.
+SPAN = 1024
 #: Longer ones are not remembered.
 LONGEST_KEPT = 64
 
@@ -39,6 +42,9 @@ class Encoder:
 
         self.special = Specials(vocabulary.special)
         self.length = {i: len(s) for s, i in vocabulary.ids.items()}
+        self.most = max(self.length.values(), default=0)
+        if 2 * self.most > SPAN:
+            raise ValueError("tokens longer than the automaton sees at once")
         self.automaton = ahocorasick.Automaton()
         for s, i in vocabulary.ids.items():
             self.automaton.add_word(s, i)
@@ -48,14 +54,8 @@ class Encoder:
         self.parts = {c: (a, b) for a, b, c in vocabulary.merges}
         self.shorter: dict[int, int | None] = {}
         ids = vocabulary.ids
-        #: The longest token at each node of the automaton (by the string that leads there).
-        self.longest: dict[str, int] = {}
-        for s in sorted(ids, key=len):
-            for k in range(1, len(s)):
-                if s[:k] not in self.longest and k > 1:
-                    self.longest[s[:k]] = self.longest[s[: k - 1]]
-            self.shorter[ids[s]] = self.longest.get(s[:-1])
-            self.longest[s] = ids[s]
+        for s in ids:
+            self.shorter[ids[s]] = next((ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in ids), None)
         self.spines: tuple[dict, dict] = ({}, {})
         self.table: dict[int, bool] = {}
         self.blocks, self.words = Recent(kept), Recent(kept)
@@ -100,11 +100,12 @@ class Encoder:
 
     def word(self, word: str) -> list[int]:
         """Ids of one word of symbols."""
-        reach, longest, length, shorter, table = self.automaton.longest_prefix, self.longest, self.length, self.shorter, self.table
+        walk, length, shorter, table = self.automaton.iter_long, self.length, self.shorter, self.table
         out: list[int] = []
         dead: set[int] = set()
-        size, at, last, rest = len(word), 0, -1, word
-        token = longest[rest[: reach(rest)]]
+        size, at, last, most = len(word), 0, -1, self.most
+        tokens, stop = walk(word[:SPAN] if size > SPAN else word), min(size, SPAN)
+        token = next(tokens)[1]
         while True:
             end = at + length[token]
             fits = last < 0
@@ -114,13 +115,17 @@ class Encoder:
                 out.append(token)
                 if end == size:
                     return out
-                at, last, rest = end, token, word[end:]
-                token = longest[rest[: reach(rest)]]
+                at, last = end, token
+                # the automaton was left for a shorter token, or a token may go on beyond what it sees: it starts again here
+                if tokens is None or (at + most > stop and stop < size):
+                    stop = min(size, at + SPAN)
+                    tokens = walk(word[at:stop])
+                token = next(tokens)[1]
             elif (less := shorter[token]) is not None:
-                token = less
+                token, tokens = less, None
             else:
                 dead.add(at)
-                token = out.pop()
+                token, tokens = out.pop(), None
                 at -= length[token]
                 last = out[-1] if out else -1
 
