@@ -342,20 +342,51 @@ def test_counts_are_the_librarys_at_any_chunk_size(spark, library):
     out = rows(token_counts.token_counts(frame(spark, texts)))
     assert [out[i][0]["n_tokens"] for i in range(len(texts))] == want
     machine = token_counts.Transducer(Vocabulary(bpe.default_path()))
-    for chunk in (1, 3, 8):
-        assert [token_counts.text_tokens(machine, t or "", chunk) for t in texts[:400]] == want[:400]
-    maps = [token_counts.chunk_map(machine, t) for t in ("one tw", "o", " three", "fo", "ur five")]
-    a, b, c = maps[:3]
-    c12 = token_counts.compose(machine, token_counts.compose(machine, a, b), c)
-    assert c12 == token_counts.compose(machine, a, token_counts.compose(machine, b, c))
-    assert token_counts.finish(machine, token_counts.prefix_scan(machine, maps)[-1]) == machine.count("one two threefour five")
+    for chunk, size in ((1, 1), (3, 2), (8, 5)):
+        assert [token_counts.text_tokens(machine, t or "", chunk, size) for t in texts[:400]] == want[:400]
+    out = rows(token_counts.token_counts(frame(spark, [" ".join(t or "" for t in texts)]), offsets="upto"))[0][0]
+    assert out["upto"][-1] == out["n_tokens"] and out["upto"] == sorted(out["upto"]) and len(out["upto"]) > 2
+
+
+def test_chunk_maps_are_maps_of_states(library):
+    """Chunks cut inside words: composed in any order they take every state where the whole row takes it."""
+    machine = token_counts.Transducer(Vocabulary(bpe.default_path()))
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("etaoinsr") for _ in range(3000)) + "'s<|endoftext|>" + "".join(rnd.choice("etaoinsr1!") for _ in range(3000))
+    row, seen = machine.row(text), set()
+    maps = token_counts.chunk_maps(machine, text, 100)
+    assert len(maps) == -(-len(row) // 100)
+    entered, added = token_counts.START, 0
+    for k, m in enumerate(maps):
+        added += entered not in m.to
+        seen.add(entered)
+        entered = m(entered)[0]
+    assert entered == token_counts.START and len(seen) > 20 and added < len(maps) / 10  # looking back finds the states
+    a, b, c = maps[3:6]
+    for state in seen:
+        whole = machine.run(state, row[300:600])
+        assert token_counts.compose(token_counts.compose(a, b), c)(state) == token_counts.compose(a, token_counts.compose(b, c))(state) == whole
+    scanned = token_counts.prefix_scan(maps)
+    assert [m(token_counts.START) for m in scanned] == [machine.run(token_counts.START, row[: 100 * k + 100]) for k in range(len(maps))]
+    assert scanned[-1](token_counts.START)[1] == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_very_long_words_and_texts(library):
+    """Results are the library's, and states stay within their bound inside a word."""
+    rnd = random.Random(13)
+    text = "".join(rnd.choice("etaoinshrdlucmfwypvbg") for _ in range(300_000)) + " " + "a" * 100_000 + " \u65e5\u672c" * 20_000
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert list(bpe.Encoder(Vocabulary(bpe.default_path())).encode(text)) == ids
+    machine = token_counts.Transducer(Vocabulary(bpe.default_path()))
+    assert token_counts.text_tokens(machine, text) == len(ids)
+    assert len(machine.states) <= token_counts.KEPT_STATES + 1
 
 
 def test_transducer_states_may_start_anew(monkeypatch, library):
     monkeypatch.setattr(token_counts, "KEPT_STATES", 5)
     machine = token_counts.Transducer(Vocabulary(bpe.default_path()))
     text = " ".join(random_texts(3, 2)) + " antidisestablishmentarianism electroencephalograph"
-    assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert token_counts.text_tokens(machine, text) == token_counts.text_tokens(machine, text, 4) == len(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_empty_tables_and_clashing_columns(spark):
