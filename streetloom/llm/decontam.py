@@ -1,13 +1,14 @@
 r"""Benchmark decontamination with a broadcast set of normalised n-gram hashes.
 
 A-Z are lower-cased; words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. A window is 10 consecutive words of an item; an
-item of fewer words, but not none, is one window. Each Python worker numbers the words of the benchmark, turns a
-document into an array of numbers (0: not a benchmark word), hashes all its windows at once, looks them up in the
-sorted hash set and compares the words of every hit with the window it hashed like.
+item of fewer words, but not none, is one window. The driver numbers the words of the benchmark and makes the set of
+window hashes, sorted, with the windows themselves and the items they are of; this is broadcast, and no worker builds it
+again. A worker turns a document into an array of numbers (0: not a benchmark word), hashes all its windows at once,
+looks them up in the set and compares the words of every hit with the windows of that hash.
 
-The set is broadcast only in blocks of at most ``block_words`` benchmark words (a stated bound, about 100 bytes a
-word in a worker). A larger benchmark is taken block by block, each against all documents; hits of the blocks are
-gathered in a column, so no shuffle is needed at any size.
+A set holds at most ``block_words`` benchmark words (about 150 bytes a word on the driver and in a worker) and one item
+at least. A larger benchmark is taken block by block, each against all documents; the hits are gathered in a column
+and written to the shared folder between blocks, so one set at a time is in memory, and no shuffle is needed at any size.
 
 Edge cases: null or wordless texts have no words and no hits; null or wordless items have no window; items with
 equal texts all count; a null item_id counts as the empty string; rows are handled one by one, so repeated rows and
@@ -17,15 +18,12 @@ like the output is replaced.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, documents, spare
+from .common import arrow_batches, documents, spare, written
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -44,82 +42,73 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in words_of(text) if w]
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each window of n numbers."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * _BASE + ids[k : len(ids) - n + 1 + k]
+def _hashes(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Polynomial hash modulo 2**64 of each row of ``at``, places in ``ids`` (in each row of ``ids`` if it has rows)."""
+    out = np.zeros(len(ids) if ids.ndim == 2 else len(at), np.uint64)
+    for k in range(at.shape[1]):
+        out = out * _BASE + (ids[:, k] if ids.ndim == 2 else ids[at[:, k]])
     return out
 
 
 class Index:
-    """The windows of one block of benchmark items."""
+    """The windows of one block of benchmark items, by length: hashes in order, words, items."""
 
     def __init__(self, items: list[tuple[str, str]], n: int = WINDOW):
-        self.n, self.number, windows = n, {}, defaultdict(set)
+        self.number: dict[bytes, int] = {}
+        self.names = sorted({item for item, _ in items})
+        at = {name: i for i, name in enumerate(self.names)}
+        owners: dict[tuple, set] = {}
         for item, text in items:
             seq = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words(text))
             for i in range(max(1, len(seq) - n + 1)) if seq else ():
-                windows[seq[i : i + n]].add(item)
-        self.items = {w: sorted(v) for w, v in windows.items()}
-        by_length: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for w in windows:
-            by_length[len(w)][int(_hashes(np.array(w, np.uint64), len(w))[0])].append(w)
-        self.by_length = {k: (np.array(sorted(v), np.uint64), dict(v)) for k, v in by_length.items()}
-
-    def hits(self, text: str | None) -> tuple[list[bytes], np.ndarray, set]:
-        """Words, the numbers of those inside an occurrence of a window, the items these windows are of."""
+                owners.setdefault(seq[i : i + n], set()).add(at[item])
+        self.by_length = {}
+        for k in sorted({len(w) for w in owners}):
+            windows = [w for w in owners if len(w) == k]
+            rows = np.array(windows, np.int32).reshape(-1, k)
+            keys = _hashes(rows.astype(np.uint64), np.arange(k)[None, :])
+            order = np.argsort(keys, kind="stable")
+            found = [sorted(owners[windows[i]]) for i in order]
+            ends = np.cumsum([0, *map(len, found)])
+            self.by_length[k] = keys[order], rows[order], ends, np.array([x for f in found for x in f], np.int32)
+
+    def hits(self, text: str | None) -> tuple[int, np.ndarray, set]:
+        """How many words there are, the numbers of those inside an occurrence of a window, the items these windows are of."""
         tokens = words(text)
         found: set = set()
         ids = np.fromiter(map(self.number.get, tokens, [0] * len(tokens)), np.uint64, len(tokens))
         hit = np.zeros(len(ids) + 1, np.int32)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, (keys, windows) in self.by_length.items():
+        for n, (keys, rows, ends, owners) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
-            h = np.zeros(len(at), np.uint64)
-            for k in range(n):
-                h = h * _BASE + ids[at + k]
-            near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for i, key in zip(at[keys[near] == h], h[keys[near] == h]):
-                window = tuple(int(x) for x in ids[i : i + n])
-                if window in windows[int(key)]:
-                    hit[i] += 1
-                    hit[i + n] -= 1
-                    found.update(self.items[window])
-        return tokens, np.flatnonzero(np.cumsum(hit[:-1])), found
-
-
-_INDEX: dict = {}
-
-
-def _index(block) -> Index:
-    if block.id not in _INDEX:
-        if len(_INDEX) > 1:
-            _INDEX.clear()
-        _INDEX[block.id] = Index(block.items.value)
-    return _INDEX[block.id]
-
-
-class _Block:
-    def __init__(self, sc, number: int, items: list):
-        self.id, self.items = f"{sc.applicationId}-{id(self)}-{number}", sc.broadcast(items)
-
-
-def _blocks(spark: SparkSession, bench: DataFrame, block_words: int) -> list[_Block]:
-    """Stream the items to broadcasts of at most ``block_words`` words each."""
-    blocks, block, size = [], [], 0
+            h = _hashes(ids, at[:, None] + np.arange(n)[None, :])
+            first, last = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for j in np.flatnonzero(first < last).tolist():
+                i = int(at[j])
+                for k in range(int(first[j]), int(last[j])):
+                    if (rows[k] == ids[i : i + n]).all():
+                        hit[i] += 1
+                        hit[i + n] -= 1
+                        found.update(owners[ends[k] : ends[k + 1]].tolist())
+        return len(tokens), np.flatnonzero(np.cumsum(hit[:-1])), {self.names[i] for i in found}
+
+
+def _blocks(bench: DataFrame, block_words: int):
+    """The index of at most ``block_words`` words at a time; items stream to the driver."""
+    block, size, made = [], 0, False
     for row in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).toLocalIterator():
         n = len(words(row[1]))
         if block and size + n > block_words:
-            blocks.append(_Block(spark.sparkContext, len(blocks), block))
-            block, size = [], 0
+            yield Index(block)
+            block, size, made = [], 0, True
         block.append((row[0], row[1]))
         size += n
-    return [*blocks, _Block(spark.sparkContext, len(blocks), block)]
+    if block or not made:
+        yield Index(block)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, out: str = "hits") -> DataFrame:
@@ -128,17 +117,24 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", block_w
     arrow_batches(spark)
     kind = "n_words bigint, words array<int>, items array<string>"
     df = docs.withColumn(out, F.expr(f"cast(null as struct<{kind.replace(' bigint', ':bigint').replace(' array', ':array')}>)"))
-    for block in _blocks(spark, bench, block_words):
-        def scan(batches, block=block):
-            index = _index(block)
+    kinds = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+    shared = None
+    for index in _blocks(bench, block_words):
+        if shared is not None:  # the hits of the block before are there before this one is sent out
+            df = written(df, "decontamination")
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+
+        def scan(batches, shared=shared):
+            index = shared.value
             for batch in batches:
-                texts, before = batch.column(text).to_pylist(), batch.column(out).to_pylist()
                 made = []
-                for t, b in zip(texts, before):
-                    tokens, at, items = index.hits(t)
-                    made.append({"n_words": len(tokens), "words": sorted({*at.tolist(), *((b or {}).get("words") or ())}), "items": sorted({*items, *((b or {}).get("items") or ())})})
+                for t, b in zip(batch.column(text), batch.column(out)):
+                    n, at, items = index.hits(t.as_py())
+                    before = b.as_py() or {"words": [], "items": []}
+                    made.append({"n_words": n, "words": sorted({*at.tolist(), *before["words"]}), "items": sorted({*items, *before["items"]})})
                 k = batch.schema.get_field_index(out)
-                yield batch.set_column(k, out, pa.array(made, pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])))
+                yield batch.set_column(k, out, pa.array(made, kinds))
 
         df = df.mapInArrow(scan, df.schema)
     return df
@@ -193,21 +189,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute_force(docs: list[tuple], items: list[tuple], n: int = WINDOW) -> dict:
-    """Reference for tests, by regular expression and nested loops."""
-    import regex
-
-    find = lambda t: regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-    out = {}
-    for doc, text in docs:
-        w, hit, ids = find(text), set(), set()
-        for item, other in items:
-            v = find(other)
-            for k in range(max(1, len(v) - n + 1)) if v else ():
-                window = v[k : k + n]
-                for i in range(len(w) - len(window) + 1):
-                    if w[i : i + len(window)] == window:
-                        hit.update(range(i, i + len(window)))
-                        ids.add(str(item))
-        out[doc] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))
-    return out
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+       FROM (SELECT item, w, least(len(w), {WINDOW}) AS k, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+h AS (SELECT doc_id, i, k, item FROM dw JOIN bw USING (k, s)),
+p AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""

@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_chat": chat.ORACLE,
 }
