@@ -59,6 +59,19 @@ def point_to_basic(view: dict[str, Column], x: Column, y: Column) -> Column:
     return F.array(*ray_to_uv(ray(view, x, y)))
 
 
+def view_from_samples(centre, right, down) -> dict[str, Column]:
+    """Camera vectors from the panorama coordinates of the centre of a view and of points halfway to its right and lower
+    edge (pairs of columns); too wide a view (a sample nearly behind) is an error."""
+    origin = uv_to_ray(*centre)
+
+    def tangent(point) -> Column:
+        r = uv_to_ray(*point)
+        scale = dot(r, origin)
+        return F.when(scale <= 0.05, F.raise_error(F.lit("the view is too wide to be sampled"))).otherwise(F.array(*[2 * (r[i] / scale - origin[i]) for i in range(3)]))
+
+    return {"origin": origin, "right": tangent(right), "down": tangent(down)}
+
+
 def camera_ok(origin: Column, right: Column, down: Column, aspect: Column) -> Column:
     """Unit viewing direction, right angles between the vectors, an aspect that fits their lengths."""
     lo, lr, ld = (F.sqrt(dot(a, a)) for a in (origin, right, down))

@@ -34,9 +34,39 @@ def severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == x).alias(x) for x in LEVELS]
 
 
+def utc_day(seconds: Column) -> Column:
+    """The date in UTC as text, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+
+
+def short_day(date: Column) -> Column:
+    """Month and day of a date as charts label them."""
+    return F.substring(date, 6, 5)
+
+
+def shown_date(millis: Column) -> Column:
+    """The day of a photograph as the viewer shows it: day, short month, year, in UTC."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(millis / 86_400_000).cast("int"))
+    return F.date_format(day, "d MMM yyyy")
+
+
+def shown_percent(share: Column) -> Column:
+    """A share of 1 in whole per cent."""
+    return F.format_string("%d%%", F.floor(share * 100 + 0.5).cast("long"))
+
+
+def css_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """A box from 0 to 1 as the left, top, width and height of its frame in per cent."""
+    return F.struct(*[(v * 100).alias(n) for n, v in (("left", x1), ("top", y1), ("width", x2 - x1), ("height", y2 - y1))])
+
+
+def latest_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
+    """The jobs started last, newest first."""
+    return jobs.orderBy(F.desc("started_at"), "id").limit(limit)
+
+
 def daily_counts(df: DataFrame, as_of: int, days: int = 30) -> DataFrame:
-    day = F.date_format(F.timestamp_seconds("detected_at"), "yyyy-MM-dd")
-    return df.where(F.col("detected_at") >= as_of - days * 86400).groupBy(day.alias("date")).agg(F.count("*").alias("count"))
+    return df.where(F.col("detected_at") >= as_of - days * 86400).groupBy(utc_day(F.col("detected_at")).alias("date")).agg(F.count("*").alias("count"))
 
 
 def coverage(cells: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_rounded, in_bounds
-from .spatial import nearest_distance
+from ..functions.geo import in_bounds
+from .spatial import nearest_distance, radius_join
 from .store import latest
 
 
@@ -31,11 +31,40 @@ def sequence_summary(panoramas: DataFrame) -> DataFrame:
     return x.orderBy(F.desc("panoramas"), "sequence")
 
 
+def surveyed(panoramas: DataFrame, areas: DataFrame, radius_m: float = 1500) -> DataFrame:
+    """Panoramas within the radius (whole metres) of each area, with ``area`` and ``metres``."""
+    places = areas.select("area", F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng"))
+    inside = panoramas.where(in_bounds(F.col("lat"), F.col("lng")) & F.col("is_pano"))
+    x = radius_join(places, inside, radius_m + 0.5).withColumn("metres", F.rint("distance_m").cast("long"))
+    return x.where(F.col("metres") <= radius_m).drop("lat", "lng", "distance_m")
+
+
+def survey_union(panoramas: DataFrame, areas: DataFrame, radius_m: float = 1500) -> DataFrame:
+    """Each panorama that some area finds once, under the first area by name."""
+    x = surveyed(panoramas, areas, radius_m)
+    return x.groupBy("id").agg(F.min_by(F.struct("area", "metres"), "area").alias("f"), F.count("*").alias("areas")).select("id", "f.*", "areas")
+
+
+def first_seen(ids: DataFrame, key: str, position: str) -> DataFrame:
+    """Each key once, where it comes first, in that order."""
+    return ids.groupBy(key).agg(F.min(position).alias(position)).orderBy(position)
+
+
+def places_found(raw: DataFrame) -> DataFrame:
+    """Geocoder rows ``(place_id, display_name, lat, lon)``, numbers as text, as places inside the service area."""
+    x = raw.select(F.col("place_id").cast("string").alias("id"), F.col("display_name").alias("name"), F.expr("try_cast(lat as double)").alias("lat"), F.expr("try_cast(lon as double)").alias("lng"))
+    return x.where(in_bounds(F.col("lat"), F.col("lng")))
+
+
+def search_key(text: Column) -> Column:
+    """The key under which a place search is kept."""
+    return F.concat(F.lit("search:"), F.trim(F.lower(text)))
+
+
 def survey(panoramas: DataFrame, areas: DataFrame, radius_m: float = 1500, limit: int = 500) -> DataFrame:
     """Per area: panoramas within the radius, whether the count may be capped, and creators; ``areas(area, a_lat, a_lng)`` is a short list."""
-    d = haversine_rounded(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))
-    x = areas.join(panoramas.where(in_bounds(F.col("lat"), F.col("lng")) & F.col("is_pano")), d <= radius_m)
-    found = x.groupBy("area").agg(F.count("*").alias("found"), F.countDistinct("sequence").alias("sequences"), F.min(d).alias("nearest_m"))
+    x = surveyed(panoramas, areas, radius_m)
+    found = x.groupBy("area").agg(F.count("*").alias("found"), F.countDistinct("sequence").alias("sequences"), F.min("metres").alias("nearest_m"))
     y = areas.select("area").join(found, "area", "left").na.fill(0, ["found", "sequences"])
     return y.withColumn("possibly_capped", F.col("found") >= limit)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import clip01
-from .graph import components, leaders
+from .graph import components, leaders, numbered
 from .spatial import radius_join
 
 
@@ -42,12 +44,17 @@ def shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def grouped_split(groups: DataFrame, seed: int = 42, share: float = 0.15) -> DataFrame:
-    """(group, split): in shuffled order the first 15 % (one at least) are val, the next as many test, the rest train."""
-    n = F.count("*").over(W.partitionBy())
-    k = F.greatest(F.lit(1), F.floor(n * share + 0.5)).cast("int")  # groups are few: one row for each
-    i = F.row_number().over(W.orderBy(shuffled("group", seed), "group"))
-    return groups.select("group").distinct().withColumn("i", i).withColumn("k", k).select("group", F.when(F.col("i") <= F.col("k"), "val").when(F.col("i") <= 2 * F.col("k"), "test").otherwise("train").alias("split"))
+def grouped_split(groups: DataFrame, seed: int = 42, share: float = 0.15, least: int = 1) -> DataFrame:
+    """(group, split): in shuffled order the first 15 % (one at least) are val, the next as many test, the rest train.
+    Fewer than ``least`` groups are an error (the service wants five)."""
+    names = groups.select("group").distinct()
+    n = names.count()
+    if n < least:
+        raise ValueError(f"{n} groups are too few to split, {least} are needed")
+    k = max(1, int(n * share + 0.5))
+    i = F.col("_i")
+    split = F.when(i <= k, "val").when(i <= 2 * k, "test").otherwise("train")
+    return numbered(names, [shuffled("group", seed), F.col("group")], "_i").select("group", split.alias("split"))
 
 
 def leaks(rows: DataFrame, value: str, split: str = "split") -> DataFrame:
@@ -60,8 +67,10 @@ def kind_matrix(rows: DataFrame, kind: str, split: str, splits: list[str]) -> Da
     return rows.groupBy(kind).agg(*[F.count_if(F.col(split) == s).alias(s) for s in splits])
 
 
-def stratified(rows: DataFrame, strata: list[str], size: int, seed: int, key: str = "id") -> DataFrame:
-    """About ``size`` rows: from each stratum its share, one at least, in shuffled order."""
+def stratified(rows: DataFrame, strata: list[str], size: int, seed: int, key: str = "id", exclude: DataFrame | None = None) -> DataFrame:
+    """About ``size`` rows: from each stratum its share, one at least, in shuffled order; keys in ``exclude`` never count."""
+    if exclude is not None:
+        rows = rows.join(exclude.select(key).distinct(), key, "left_anti")
     n = rows.groupBy(*strata).agg(F.count("*").alias("_n"))
     total = n.agg(F.sum("_n").alias("_total"))
     quota = n.crossJoin(total).select(*strata, F.greatest(F.lit(1), F.rint(F.lit(size) * F.col("_n") / F.col("_total"))).cast("int").alias("_quota"))  # one row
@@ -76,8 +85,8 @@ def round_robin(rows: DataFrame, by: str, order: list[Column], count: int) -> Da
 
 
 def deal_out(rows: DataFrame, order: list[Column], members: int) -> DataFrame:
-    """Rows in order dealt to members by turns (a label batch: small by nature)."""
-    return rows.withColumn("member", (F.row_number().over(W.orderBy(*order)) - 1) % members)
+    """Rows in order dealt to members by turns."""
+    return numbered(rows, order, "_i").withColumn("member", ((F.col("_i") - 1) % members).cast("int")).drop("_i")
 
 
 def spaced(points: DataFrame, spacing_m: float, seed: int) -> DataFrame:
@@ -124,56 +133,150 @@ def choose_validation(groups: DataFrame, target: float = 1 / 3, low: float = 0.2
     return best.select(F.array_join("b.key.names", ",").alias("chosen"), F.col("b.share").alias("panorama_share"), F.col("b.regions").alias("region_share"), (~F.col("b.key.outside")).alias("in_bounds"))
 
 
-def hamming_pairs(rows: DataFrame, distance: int, words: list[str], chunks: int | None = None) -> DataFrame:
-    """(a, b, distance): all pairs of ids whose hashes (given as longs of 64 bits) differ in at most ``distance`` bits.
+def hamming_plan(rows: int, bits: int, distance: int) -> tuple[int, int]:
+    """(blocks, agree): into how many blocks to cut the bits and how many of them two rows must share, so that keys and
+    expected candidates are fewest. Of ``distance + agree`` blocks at most ``distance`` can differ."""
+    from math import comb
+
+    def cost(agree: int) -> float:
+        n = distance + agree
+        return comb(n, agree) * (rows + rows * rows / 2 / 2 ** (bits * agree / n))
+
+    agree = min((k for k in (1, 2, 3) if comb(distance + k, k) <= 2_000 and distance + k <= bits), key=cost, default=1)
+    return distance + agree, agree
+
+
+def hamming_pairs(rows: DataFrame, distance: int, words: list[str], apart: str | None = None, plan: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b, distance): all pairs of ids whose hashes (given as longs of 64 bits) differ in at most ``distance`` bits;
+    with ``apart``, only pairs that differ in this column (batch or split).
 
-    The bits are cut into ``distance + 1`` chunks (or ``chunks`` more): by the pigeonhole principle a pair agrees in at
-    least one, so chunks are joined by equality and the popcount verifies. A pair is given under its first common chunk.
+    The bits are cut into blocks: by the pigeonhole principle two rows within the distance share at least ``agree`` of
+    ``distance + agree`` blocks, so rows are joined on choices of that many blocks, and the popcount verifies. A pair is
+    given under its first common choice, which is worked out from the hashes. ``hamming_plan`` chooses how many: wide
+    keys where rows are many, few where they are few. A distance that is a large part of the bits has no good choice.
     """
-    n = chunks or distance + 1
+    from itertools import combinations
+
     bits = 64 * len(words)
-    cuts = [round(bits * i / n) for i in range(n + 1)]
+    blocks, agree = plan or hamming_plan(rows.count(), bits, distance)
+    cuts = [round(bits * i / blocks) for i in range(blocks + 1)]
 
-    def chunk(i: int) -> Column:
+    def block(i: int) -> list[tuple[str, int]]:
         parts = []
         for w, name in enumerate(words):
-            a, b = max(cuts[i], 64 * w) - 64 * w, min(cuts[i + 1], 64 * w + 64) - 64 * w
-            if a < b:
-                mask = ((1 << (b - a)) - 1) << a
-                parts.append(F.col(name).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
-        return F.xxhash64(F.lit(i), *parts)
-
-    x = rows.select("id", *words, F.array(*[chunk(i) for i in range(n)]).alias("keys"))
-    e = x.select("*", F.posexplode("keys").alias("slot", "key"))
+            lo, hi = max(cuts[i], 64 * w) - 64 * w, min(cuts[i + 1], 64 * w + 64) - 64 * w
+            if lo < hi:
+                mask = ((1 << (hi - lo)) - 1) << lo
+                parts.append((name, mask - (1 << 64) if mask >> 63 else mask))
+        return parts
+
+    at = [block(i) for i in range(blocks)]
+    choices = list(combinations(range(blocks), agree))
+
+    def key(c: tuple[int, ...]) -> Column:
+        masks: dict[str, int] = {}
+        for i in c:
+            for name, mask in at[i]:
+                masks[name] = masks.get(name, 0) | mask
+        return F.xxhash64(*[F.col(n).bitwiseAND(F.lit(m).cast("long")) for n, m in masks.items()])
+
+    e = rows.select("id", *words, *([apart] if apart else []), F.posexplode(F.array(*[key(c) for c in choices])).alias("slot", "key"))
     a, b = e.alias("a"), e.alias("b")
     d = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
-    first = F.array_position(F.zip_with("a.keys", "b.keys", lambda u, v: u == v), True) == F.col("a.slot") + 1
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") < F.col("b.id"))).where((d <= distance) & first).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance")
-    )
+    same = [reduce(Column.__and__, [F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}")).bitwiseAND(F.lit(m).cast("long")) == 0 for n, m in parts]) for parts in at]
+    # choices come in order, so the first common one is that of the first blocks that are equal
+    first = F.slice(F.array_compact(F.array(*[F.when(s, i) for i, s in enumerate(same)])), 1, agree)
+    number = F.element_at(F.map_from_arrays(F.array(*[F.lit(",".join(map(str, c))) for c in choices]), F.array(*[F.lit(i) for i in range(len(choices))])), F.array_join(first.cast("array<string>"), ","))
+    meet = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))
+    if apart:
+        meet = meet & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
+    x = a.join(b, meet).where(d <= distance).where(number == F.col("a.slot"))
+    return x.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance"))
 
 
 def quality_flags(boxes: DataFrame, images: DataFrame) -> DataFrame:
-    """(image, flags): what is odd about each image's boxes (pixels x, y, w, h), in a fixed order.
+    """(image, flags): what is odd about each image and its boxes (pixels x, y, w, h), in a fixed order.
 
-    Boxes outside or empty, under two pixels, almost equal pairs, none at all. ``images(image, width, height)``,
-    ``boxes(image, idx, x, y, w, h)``.
+    Of the image, where it has the columns: a size other than the annotated one (``real_width``, ``real_height``), an
+    ``orientation`` other than 1, a ``mode`` other than RGB. Of boxes: outside or empty (half a pixel of slack on the
+    right and below), under two pixels (both can be), pairs that are almost equal, none at all.
+    ``images(image, width, height)``, ``boxes(image, idx, x, y, w, h)``.
     """
     from ..functions.boxes import from_xywh, iou
 
-    j = boxes.join(images, "image")
-    outside = (F.col("w") <= 0) | (F.col("h") <= 0) | (F.col("x") < -0.5) | (F.col("y") < -0.5) | (F.col("x") + F.col("w") > F.col("width") + 0.5) | (F.col("y") + F.col("h") > F.col("height") + 0.5)
-    flag = F.when(outside, F.struct(F.lit(0).alias("o"), "idx", F.concat(F.lit("box "), F.col("idx").cast("string"), F.lit(" outside or empty")).alias("f"))).when(
-        (F.col("w") < 2) | (F.col("h") < 2), F.struct(F.lit(0).alias("o"), "idx", F.concat(F.lit("box "), F.col("idx").cast("string"), F.lit(" under 2px")).alias("f"))
-    )
-    single = j.select("image", flag.alias("s")).where("s is not null")
+    have = set(images.columns)
+    real = [F.col(c if c in have else o) for c, o in (("real_width", "width"), ("real_height", "height"))]
+    kind = boxes.schema["idx"].dataType
+
+    def flag(order: int, text: Column, idx: Column | None = None) -> Column:
+        none = F.lit(0).cast(kind)
+        return F.struct(F.lit(order).alias("o"), (none if idx is None else idx).alias("idx"), none.alias("other"), text.alias("f"))
+
+    of_image = [F.when((real[0] != F.col("width")) | (real[1] != F.col("height")), flag(0, F.lit("size differs from annotation")))]
+    if "orientation" in have:
+        of_image.append(F.when(F.col("orientation") != 1, flag(1, F.concat(F.lit("EXIF orientation "), F.col("orientation").cast("string")))))
+    if "mode" in have:
+        of_image.append(F.when(F.col("mode") != "RGB", flag(2, F.concat(F.lit("mode "), "mode"))))
+    found = [images.select("image", F.explode(F.array_compact(F.array(*of_image))).alias("s"))]
+    x, y, w, h, idx = (F.col(c) for c in ("x", "y", "w", "h", "idx"))
+    outside = (w <= 0) | (h <= 0) | (x < 0) | (y < 0) | (x + w > F.col("_rw") + 0.5) | (y + h > F.col("_rh") + 0.5)
+    name = lambda text: F.concat(F.lit("box "), idx.cast("string"), F.lit(text))
+    of_box = F.array_compact(F.array(F.when(outside, flag(3, name(" outside or empty"), idx)), F.when(F.least(w, h) < 2, flag(4, name(" under 2px"), idx))))
+    j = boxes.join(images.select("image", real[0].alias("_rw"), real[1].alias("_rh")), "image")
+    found.append(j.select("image", F.explode(of_box).alias("s")))
     a, b = boxes.alias("a"), boxes.alias("b")
     over = iou(from_xywh(*[F.col(f"a.{c}") for c in "xywh"]), from_xywh(*[F.col(f"b.{c}") for c in "xywh"]))
     twins = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.idx") < F.col("b.idx"))).where(over > 0.9)
-    name = F.concat(F.lit("boxes "), F.col("a.idx").cast("string"), F.lit(" and "), F.col("b.idx").cast("string"), F.lit(" nearly equal"))
-    twins = twins.select(F.col("a.image").alias("image"), F.struct(F.lit(1).alias("o"), F.col("a.idx").alias("idx"), name.alias("f")).alias("s"))
-    none = images.join(boxes, "image", "left_anti").select("image", F.struct(F.lit(2).alias("o"), F.lit(0).cast(boxes.schema["idx"].dataType).alias("idx"), F.lit("no boxes").alias("f")).alias("s"))
-    return single.unionByName(twins).unionByName(none).groupBy("image").agg(F.array_sort(F.collect_list("s")).getField("f").alias("flags"))
+    pair = F.concat(F.lit("boxes "), F.col("a.idx").cast("string"), F.lit(" and "), F.col("b.idx").cast("string"), F.lit(" nearly equal"))
+    found.append(twins.select(F.col("a.image").alias("image"), F.struct(F.lit(5).alias("o"), F.col("a.idx").alias("idx"), F.col("b.idx").alias("other"), pair.alias("f")).alias("s")))
+    found.append(images.join(boxes, "image", "left_anti").select("image", flag(6, F.lit("no boxes")).alias("s")))
+    return reduce(DataFrame.unionByName, found).groupBy("image").agg(F.array_sort(F.collect_list("s")).getField("f").alias("flags"))
+
+
+def quality_report(boxes: DataFrame, images: DataFrame, size: int, seed: int, cross_split: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, queue): each image with all its flags, and the images to look at.
+
+    To ``quality_flags`` come, where ``images`` has the columns, a missing ``source_url`` and a ``sharpness`` in the
+    lowest twentieth; and for both images of each ``cross_split(a, b, distance)`` that they may be related. The queue
+    has every image with a flag other than ``no boxes``, and of the others a sample of ``size`` over split and median
+    box size (``images.split``); its reason is the flags or ``stratified sample``.
+    """
+    from ..functions.boxes import short_side_px
+
+    have = set(images.columns)
+    found = [quality_flags(boxes, images).select("image", F.posexplode("flags").alias("o", "f"))]
+    extra = lambda rows, order, text: found.append(rows.select("image", F.lit(order).alias("o"), text.alias("f")))
+    if "source_url" in have:
+        extra(images.where(F.coalesce(F.trim("source_url"), F.lit("")) == ""), 10**6, F.lit("missing source URL"))
+    if "sharpness" in have:
+        floor = images.agg(F.percentile("sharpness", 0.05).alias("_floor"))  # one row
+        extra(images.crossJoin(floor).where("sharpness < _floor"), 10**6 + 1, F.lit("sharpness in lowest 5% (review)"))
+    if cross_split is not None:
+        both = cross_split.select("a", "b", "distance", F.explode(F.array("a", "b")).alias("image"))
+        text = F.concat(F.lit("possible related image across splits: "), F.col("a").cast("string"), F.lit("/"), F.col("b").cast("string"), F.lit(" (distance "), F.col("distance").cast("string"), F.lit(")"))
+        extra(both, 10**6 + 2, text)
+    flags = reduce(DataFrame.unionByName, found).groupBy("image").agg(F.array_sort(F.collect_list(F.struct("o", "f"))).getField("f").alias("flags"))
+    records = images.join(flags, "image", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
+    sides = boxes.join(images.select("image", "width", "height"), "image").groupBy("image").agg(F.median(F.round(short_side_px(F.col("w"), F.col("h"), F.col("width"), F.col("height")), 1)).alias("_median"))
+    m = F.coalesce("_median", F.lit(0.0))
+    records = records.join(sides, "image", "left").withColumn("size_class", F.when(m < 16, "<16").when(m < 32, "16-32").otherwise(">=32")).drop("_median")
+    flagged = records.where(F.exists("flags", lambda f: ~f.startswith("no boxes"))).select("image")
+    sample = stratified(records, ["split", "size_class"], size, seed, "image", flagged).select("image")
+    queue = records.join(flagged.unionByName(sample).distinct(), "image", "left_semi")
+    reason = F.when(F.size("flags") > 0, F.array_join("flags", "; ")).otherwise("stratified sample")
+    return records, queue.select("image", "split", reason.alias("reasons"))
+
+
+def with_licence(images: DataFrame, licences: DataFrame, credits: DataFrame) -> DataFrame:
+    """Images with their licence by number and their credit by id; defaults where there is none."""
+    x = images.join(licences.select(F.col("id").alias("license"), F.col("name").alias("_name")), "license", "left")
+    x = x.join(credits.select("image", F.col("credit").alias("_credit")), "image", "left")
+    return x.withColumns({"license_name": F.coalesce("_name", F.lit("unknown")), "credit": F.coalesce("_credit", F.lit(""))}).drop("_name", "_credit")
+
+
+def group_statistics(views: DataFrame) -> DataFrame:
+    """(name, panoramas, views, litter_views, regions) of ``views(name, panorama, litter, regions)``."""
+    return views.groupBy("name").agg(F.countDistinct("panorama").alias("panoramas"), F.count("*").alias("views"), F.count_if("litter").alias("litter_views"), F.sum("regions").alias("regions"))
 
 
 def flag_counts(flags: DataFrame) -> DataFrame:

@@ -34,6 +34,34 @@ def target_pixels(size_m: Column, distance_m: Column, pixels_per_degree: float)
     return F.degrees(2 * F.atan(size_m / (2 * distance_m))) * pixels_per_degree
 
 
+def reference_side(boxes: DataFrame) -> DataFrame:
+    """(photo, reference): the median long side of each photo's boxes."""
+    return boxes.groupBy("photo").agg(F.median(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("reference"))
+
+
+def street_scale(target: Column, reference: Column, width: Column, height: Column, u: Column, least_px: float, tile: float = 640.0) -> Column:
+    """The scale at which a photo's objects are ``target`` pixels long, never over 1 and never so small that its long
+    side is under ``least_px``; a photo without boxes gets a long side between both sizes by ``u`` (0 to 1)."""
+    longest = F.greatest(width, height)
+    free = (F.lit(least_px) + u * (tile - least_px)) / longest
+    scale = F.coalesce(F.least(F.lit(1.0), target / reference), free)
+    return F.least(F.lit(1.0), F.greatest(scale, F.lit(least_px) / longest))
+
+
+def centred_origin(extent: Column, size: Column, centre: Column, u: Column) -> Column:
+    """Where a window starts so that ``centre`` lies in its middle three fifths (``u`` from 0 to 1 says where), inside the extent."""
+    start = F.least(F.greatest(centre - (0.2 + 0.6 * u) * size, F.lit(0.0)), extent - size)
+    return F.when(extent <= size, 0).otherwise(start.cast("long")).cast("long")
+
+
+def derivative_means(tiles: DataFrame) -> DataFrame:
+    """One row over ``tiles(parts, clean_parts, labels, grey_share)``: means as the build reports them, null without tiles."""
+    return tiles.agg(
+        F.round(F.avg("parts"), 2).alias("photos_per_tile"), F.round(F.avg("grey_share"), 3).alias("grey_share"), F.round(F.avg("labels"), 1).alias("labels_per_tile"),
+        F.round(F.avg(F.col("clean_parts") / F.col("parts")), 3).alias("clean_share_of_parts"), F.count_if(F.col("labels") == 0).alias("tiles_without_labels"),
+    )
+
+
 def is_clear(windows: DataFrame, boxes: DataFrame, margin: float = 16.0) -> DataFrame:
     """Windows of an image that keep ``margin`` pixels from all its boxes; ``windows(image, x0, y0, ww, wh)``."""
     b = boxes.select(F.col("image").alias("_i"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.boxes import area_pct, unletterbox
 from ..functions.sphere import AXES, HALF_FOV_DEG, MIN_DEPTH, PERIMETER
 from ..schema import CROSS_VIEW_IOU, TILE_COVER, TILE_EDGE, TILE_IOU, VIEWS
 from ..session import ship
+from .analytics import severity_with_area
 
 
 def confident(df: DataFrame, threshold: float) -> DataFrame:
@@ -37,6 +39,25 @@ def is_cut(x1, y1, x2, y2, left, top, right, bottom, width, height) -> Column:
 
 
 
+def decode(raw: DataFrame, frame: dict[str, Column], threshold: float, k: int = 100) -> DataFrame:
+    """Detector rows ``raw(image_id, view_id, id, confidence, cls, x1..y2)`` in pixels of the padded input as boxes from
+    0 to 1 of the view: finite confidences from the threshold, class 0, clipped, none without an area, the ``k`` most
+    confident of each view. ``frame`` has left, top, scale, width and height of the view in the input."""
+    x = confident(raw, threshold)
+    side = {"x": ("left", "width"), "y": ("top", "height")}
+    x = x.withColumns({c: unletterbox(F.col(c), frame[side[c[0]][0]], frame["scale"], frame[side[c[0]][1]]) for c in ("x1", "y1", "x2", "y2")})
+    return top_k(x.where("x2 > x1 and y2 > y1"), ["image_id", "view_id"], [F.desc("confidence"), F.asc("id")], k).drop("rank")
+
+
+def analyse(raw: DataFrame, frame: dict[str, Column], threshold: float) -> DataFrame:
+    """A panorama's analysis: the rows of all its views decoded, those that see one object from two views merged,
+    numbered by falling confidence in each panorama, with area and severity. Rows to be kept by ``store.latest``."""
+    x = numbered(cross_view_nms(decode(raw, frame, threshold)), ["image_id"], "litter-", [F.desc("confidence"), F.asc("id")])
+    area = F.round(area_pct(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), 2)
+    x = x.withColumn("name", F.concat_ws("-", "image_id", "name")).withColumn("waste_area_pct", area)
+    return x.withColumn("severity", severity_with_area(F.col("confidence"), F.col("waste_area_pct")))
+
+
 def tile_nms(df: DataFrame, by: list[str]) -> DataFrame:
     """Greedy suppression inside each group: uncut boxes first, then by falling confidence (then id); a box goes if it
     overlaps a kept one by half, or if four fifths of the smaller of the two are common."""

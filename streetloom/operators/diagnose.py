@@ -35,12 +35,28 @@ def box_stats(sides: DataFrame) -> DataFrame:
     )
 
 
+def read_results(spark, path: str) -> DataFrame:
+    """A file of training results with blanks around its column names: one row for each epoch, numbers as doubles."""
+    x = spark.read.csv(path, header=True)
+    return x.select(*[F.col(f"`{c}`").cast("double").alias(c.strip()) for c in x.columns])
+
+
+def result_rows(results: DataFrame, run: str, names: list[str]) -> DataFrame:
+    """Results kept as one array a measure as rows (run, epoch, measures), epochs from 0; the measures are as long as one another."""
+    x = results.select(run, F.posexplode(F.arrays_zip(*names)).alias("epoch", "v"))
+    return x.select(run, F.col("epoch").cast("long").alias("epoch"), *[F.col("v")[n].alias(n) for n in names])
+
+
+def boxes_per_image(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """One row: mean, median and largest number of boxes of an image, images without any; ``images(image)``."""
+    n = images.select("image").distinct().join(boxes.groupBy("image").agg(F.count("*").alias("n")), "image", "left").na.fill(0, ["n"])
+    return n.agg(F.count("*").alias("images"), F.avg("n").alias("mean_boxes"), F.median("n").alias("median_boxes"), F.max("n").alias("max_boxes"), F.count_if(F.col("n") == 0).alias("empty_images"))
+
+
 def category_counts(misses: DataFrame) -> DataFrame:
     """Counts by category and by category and size in one pass; the size is null in the first kind of row."""
-    misses.createOrReplaceTempView("_streetloom_misses")
-    return misses.sparkSession.sql(
-        "SELECT category, size_bucket, grouping(size_bucket) AS by_category, count(*) AS count FROM _streetloom_misses GROUP BY GROUPING SETS ((category), (category, size_bucket))"
-    )
+    x = misses.groupingSets([[F.col("category")], [F.col("category"), F.col("size_bucket")]], F.col("category"), F.col("size_bucket"))
+    return x.agg(F.grouping("size_bucket").alias("by_category"), F.count("*").alias("count"))
 
 
 def reach(misses: DataFrame, levels: list[float]) -> DataFrame:

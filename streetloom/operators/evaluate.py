@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,11 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import iou
 from ..functions.stats import f1, ratio, wilson
 from ..schema import MATCH_IOU, PARITY_IOU, PARITY_PX, SIZE_BUCKETS
-from ..session import ship
-
-
-
-MATCHES = "image string, prediction long, truth long, iou double"
+from .graph import one_to_one
 
 
 def pairs(preds: DataFrame, truths: DataFrame, least: float = 0.0) -> DataFrame:
@@ -30,36 +25,13 @@ def match(preds: DataFrame, truths: DataFrame, threshold: float = MATCH_IOU) ->
     """(image, prediction, truth, iou): predictions by falling confidence (then index) each claim the free truth with
     the largest overlap (then the lowest index), if it reaches the threshold.
 
-    Only pairs that reach the threshold can ever match, so the ordered pass over an image sees nothing else: a free truth with
-    the largest overlap is below the threshold exactly if none at or above it is free.
+    Only pairs that reach the threshold can ever match, so nothing else leaves the join: a free truth with the largest
+    overlap is below the threshold exactly if none at or above it is free. The claims are the pairs chosen greedily by
+    confidence, prediction, overlap and truth.
     """
-    ship(preds.sparkSession)
-    near = pairs(preds, truths).where(F.col("iou") >= threshold)
-    return near.select("image", "prediction", "confidence", "truth", "iou").groupBy("image").applyInPandas(_claim, MATCHES)
-
-
-def _claim(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One image: predictions in order, each with the first free truth of its candidates."""
-    pdf = pdf.sort_values(["confidence", "prediction", "iou", "truth"], ascending=[False, True, False, True])
-    used, served, keep = set(), set(), []
-    for i, (p, t) in enumerate(zip(pdf["prediction"], pdf["truth"])):
-        if p not in served and t not in used:
-            served.add(p)
-            used.add(t)
-            keep.append(i)
-    return pdf.iloc[keep][["image", "prediction", "truth", "iou"]]
-
-
-def _pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One image: pairs by falling overlap, then falling indexes, each side once."""
-    pdf = pdf.sort_values(["iou", "prediction", "truth"], ascending=False)
-    left, right, keep = set(), set(), []
-    for i, (p, t) in enumerate(zip(pdf["prediction"], pdf["truth"])):
-        if p not in left and t not in right:
-            left.add(p)
-            right.add(t)
-            keep.append(i)
-    return pdf.iloc[keep][["image", "prediction", "truth", "iou"]]
+    near = pairs(preds, truths).where(F.col("iou") >= threshold).select("image", "prediction", "confidence", "truth", "iou")
+    order = [-F.col("confidence"), F.col("prediction"), -F.col("iou"), F.col("truth")]
+    return one_to_one(near, ["image"], "prediction", "truth", order).select("image", "prediction", "truth", "iou")
 
 
 def match_by_overlap(left: DataFrame, right: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -67,9 +39,8 @@ def match_by_overlap(left: DataFrame, right: DataFrame, threshold: float | None
 
     Without a threshold pairs that do not overlap match too, as parity wants it.
     """
-    ship(left.sparkSession)
     near = pairs(left, right).where(F.col("iou") >= (threshold or 0.0)).select("image", "prediction", "truth", "iou")
-    found = near.groupBy("image").applyInPandas(_pair_up, MATCHES)
+    found = one_to_one(near, ["image"], "prediction", "truth", [-F.col("iou"), -F.col("prediction"), -F.col("truth")])
     if threshold is not None:
         return found
     # pairs that do not overlap all tie at 0: by falling indexes the largest free ones go together, then the next
@@ -114,10 +85,19 @@ def with_intervals(df: DataFrame, k: str, n: str) -> DataFrame:
     return df.withColumn("low", low).withColumn("high", high)
 
 
+def mixed(v: Column, seed: int) -> Column:
+    """A pseudo-random number below 2**31 of a long, by two rounds of a linear step and a shift; products fit a long."""
+    for k, c in ((1_103_515_245, 12_345 + seed), (1_664_525, 1_013_904_223)):
+        x = (v % 2**31 * k + c) % 2**31
+        v = x.bitwiseXOR(F.shiftright(x, 15))
+    return v
+
+
 def bootstrap(recs: DataFrame, key: Column, rounds: int = 2000, seed: int = 0) -> DataFrame:
     """95 % intervals of precision and recall by resampling whole groups with replacement.
 
-    Round and draw give a pseudo-random group number from a hash, so a seed fixes the result on any cluster layout.
+    Round and draw give a pseudo-random group number by integer arithmetic, so a seed fixes the result on any cluster
+    layout and in any engine. The groups, one short row for each, meet the draws in a join, however many there are.
     """
     spark = recs.sparkSession
     g = recs.groupBy(key.alias("g")).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
@@ -126,7 +106,7 @@ def bootstrap(recs: DataFrame, key: Column, rounds: int = 2000, seed: int = 0) -
         return spark.createDataFrame([], "metric string, low double, high double, rounds bigint")
     # groups are numbered where they are: there may be as many as images
     numbered = g.orderBy("g").select(*[F.col(c).cast("long") for c in ("tp", "fp", "fn")]).rdd.zipWithIndex().toDF("r struct<tp: long, fp: long, fn: long>, i long").select("i", "r.*")
-    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("i"))
+    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (mixed(F.col("id"), seed) % n).alias("i"))
     x = draws.join(numbered, "i").groupBy("round").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     x = x.select(ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     x = x.select(F.explode(F.array(F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("v")), F.struct(F.lit("recall").alias("metric"), F.col("recall").alias("v")))).alias("s")).select("s.*").where("v is not null")
@@ -159,19 +139,38 @@ def choose_threshold(curve: DataFrame, precision: float = 0.85, by: list[str] |
     return curve.groupBy(*(by or [])).agg(F.coalesce(good, -best["t"]).alias("threshold"), good.isNotNull().alias("reached"))
 
 
-def parity(left: DataFrame, right: DataFrame, size_px: float = 640.0) -> DataFrame:
-    """Per image: counts, least overlap, largest corner and confidence difference of the pairs, and whether it passes."""
+def parity(left: DataFrame, right: DataFrame, size_px: float = 640.0, bounds: DataFrame | None = None) -> DataFrame:
+    """Per image: counts, least overlap, largest corner and confidence difference of the pairs (1, 0 and 0 where there
+    are none), whether it passes, and whether it does by overlap alone and without clipping.
+
+    ``bounds(image, bx1, by1, bx2, by2)`` is where the image lies in the detector's input: boxes are clipped to it first.
+    """
+    plain = _paired(left, right, size_px).select("image", ((F.col("n_left") == F.col("n_right")) & (F.col("pairs") == F.col("n_left")) & F.coalesce("overlap", F.lit(True))).alias("passed_strict"))
+
+    def clip(df: DataFrame) -> DataFrame:
+        x = df.join(bounds, "image", "left")
+        low, high = {"x": "bx1", "y": "by1"}, {"x": "bx2", "y": "by2"}
+        return x.withColumns({c: F.least(F.greatest(F.col(c), F.coalesce(low[c[0]], c)), F.coalesce(high[c[0]], c)) for c in ("x1", "y1", "x2", "y2")}).select(*df.columns)
+
+    y = _paired(left, right, size_px) if bounds is None else _paired(clip(left), clip(right), size_px)
+    unpaired = F.greatest("n_left", "n_right") - F.col("pairs")
+    y = y.withColumn("unpaired", unpaired).withColumn("passed", (F.col("n_left") == F.col("n_right")) & F.coalesce("close", F.lit(True))).drop("close", "overlap")
+    return y.na.fill({"min_iou": 1.0, "max_corner_px": 0.0, "max_confidence_diff": 0.0}).join(plain, "image")
+
+
+def _paired(left: DataFrame, right: DataFrame, size_px: float) -> DataFrame:
     m = match_by_overlap(left, right)
     a = left.select("image", F.col("idx").alias("prediction"), *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2", "confidence")])
     b = right.select("image", F.col("idx").alias("truth"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2", "confidence")])
     x = m.join(a, ["image", "prediction"]).join(b, ["image", "truth"])
     corner = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) * size_px for c in ("x1", "y1", "x2", "y2")])
-    ok = (F.col("iou") >= PARITY_IOU) | (corner <= PARITY_PX)
-    p = x.groupBy("image").agg(F.count("*").alias("pairs"), F.min("iou").alias("min_iou"), F.max(corner).alias("max_corner_px"), F.max(F.abs(F.col("a_confidence") - F.col("b_confidence"))).alias("max_confidence_diff"), F.bool_and(ok).alias("close"))
+    overlap = F.col("iou") >= PARITY_IOU
+    p = x.groupBy("image").agg(
+        F.count("*").alias("pairs"), F.min("iou").alias("min_iou"), F.max(corner).alias("max_corner_px"), F.max(F.abs(F.col("a_confidence") - F.col("b_confidence"))).alias("max_confidence_diff"),
+        F.bool_and(overlap | (corner <= PARITY_PX)).alias("close"), F.bool_and(overlap).alias("overlap"),
+    )
     na, nb = left.groupBy("image").agg(F.count("*").alias("n_left")), right.groupBy("image").agg(F.count("*").alias("n_right"))
-    y = na.join(nb, "image", "full_outer").join(p, "image", "left").na.fill(0, ["n_left", "n_right", "pairs"])
-    unpaired = F.greatest("n_left", "n_right") - F.col("pairs")
-    return y.withColumn("unpaired", unpaired).withColumn("passed", (F.col("n_left") == F.col("n_right")) & F.coalesce("close", F.lit(True))).drop("close")
+    return na.join(nb, "image", "full_outer").join(p, "image", "left").na.fill(0, ["n_left", "n_right", "pairs"])
 
 
 def near_misses(preds: DataFrame, truths: DataFrame, matches: DataFrame) -> DataFrame:
@@ -203,3 +202,22 @@ def agreement(boxes: DataFrame) -> DataFrame:
     x = x.withColumn("image", key("x")).join(m, "image", "left")
     total = F.col("na") + F.col("nb")
     return x.select("view", "a", "b", F.when(total > 0, 2 * F.coalesce("m", F.lit(0)) / total).alias("f1"))
+
+
+def calibration(boxes: DataFrame, statuses: DataFrame, least_f1: float = 0.7) -> DataFrame:
+    """(view, reviewers, statuses_agree, mean_f1, discuss) of views that several reviewers answered: ``boxes`` as in
+    ``agreement``, ``statuses(view, reviewer, status)``. A view is to be discussed if the statuses differ or the boxes
+    agree too little; mean_f1 (three decimals) is null if no pair drew boxes."""
+    f = agreement(boxes).groupBy("view").agg(F.round(F.avg("f1"), 3).alias("mean_f1"))
+    x = statuses.groupBy("view").agg(F.countDistinct("reviewer").alias("reviewers"), (F.countDistinct("status") == 1).alias("statuses_agree")).join(f, "view", "left")
+    return x.withColumn("discuss", ~F.col("statuses_agree") | F.coalesce(F.col("mean_f1") < least_f1, F.lit(False)))
+
+
+def calibration_summary(views: DataFrame) -> DataFrame:
+    """One row of ``calibration``: views, agreeing statuses, views to discuss."""
+    return views.agg(F.count("*").alias("views"), F.count_if("statuses_agree").alias("status_agreement"), F.count_if("discuss").alias("to_discuss"))
+
+
+def latency(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Median, least and largest ``latency_ms``; nulls do not count."""
+    return runs.groupBy(*(by or [])).agg(F.median("latency_ms").alias("median_ms"), F.min("latency_ms").alias("min_ms"), F.max("latency_ms").alias("max_ms"), F.count("latency_ms").alias("runs"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CLUSTER_RADIUS_M, MAX_CLUSTER_INPUT, SCORE_WEIGHTS
-from .graph import cut, leaders
+from .graph import cut, leaders, numbered
 from .spatial import radius_join
 
 
@@ -20,9 +19,15 @@ def cluster(detections: DataFrame, radius_m: float = CLUSTER_RADIUS_M, newest: i
     if newest is not None:
         d = d.orderBy(F.desc("detected_at"), "id").limit(newest)
     d = cut(d)
-    order = d.select(F.col("id").alias("node"), F.struct((-F.col("detected_at")).alias("t"), F.col("id").alias("i")).alias("rank"))
-    links = radius_join(d.select(F.col("id").alias("a"), "lat", "lng"), d.select(F.col("id").alias("b"), "lat", "lng"), radius_m).select("a", "b")
-    return leaders(order, links).select(F.col("node").alias("id"), "leader")
+    # rows of one place have the same neighbours, so the earliest of them stands for all
+    rank = F.struct((-F.col("detected_at")).alias("t"), F.col("id").alias("i"))
+    places = cut(d.groupBy("lat", "lng").agg(F.min(rank).alias("rank")))
+    a = places.select(F.col("rank").alias("ra"), "lat", "lng")
+    b = places.select(F.col("rank").alias("rb"), "lat", "lng")
+    links = radius_join(a, b, radius_m, keep=F.col("rb") < F.col("ra")).select(F.col("ra.i").alias("a"), F.col("rb.i").alias("b"), "rb")
+    found = leaders(places.select(F.col("rank.i").alias("node"), "rank"), links, directed=True)
+    at = places.select(F.col("rank.i").alias("node"), "lat", "lng").join(found, "node").select("lat", "lng", "leader")
+    return d.join(at, ["lat", "lng"]).select("id", "leader")
 
 
 def score(area: Column, n: Column, confidence: Column, newest: Column, images: Column, as_of: int) -> Column:
@@ -54,17 +59,18 @@ def summaries(detections: DataFrame, clusters: DataFrame, as_of: int) -> DataFra
     return x.withColumn("score", s).withColumn("priority", priority(F.col("score")))
 
 
-def snapshot(detections: DataFrame, clusters: DataFrame, as_of: int) -> DataFrame:
-    """The full table of hotspots, named by the order of their leaders; rounding happens here only.
+def snapshot(detections: DataFrame, clusters: DataFrame, as_of: int, exact: bool = False) -> DataFrame:
+    """The full table of hotspots, named by the order of their leaders; rounding happens here only, and with ``exact``
+    the values before it are in a struct of that name.
 
-    Ranks come from one window over the clusters, one row for each; their number is bounded by the service's window.
+    Ranks are counted by ranges, so any number of clusters can be named.
     """
-    x = summaries(detections, clusters, as_of)
-    i = F.row_number().over(W.orderBy(F.desc("lead_at"), "leader"))
+    x = numbered(summaries(detections, clusters, as_of), [F.desc("lead_at"), F.asc("leader")], "place")
     text = F.format_string("%d waste observations near (%.4f, %.4f)", "detection_count", "lat", "lng")
     return x.select(
-        F.concat(F.lit("hotspot-"), i.cast("string")).alias("id"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.lit(CLUSTER_RADIUS_M).alias("radius_m"),
+        F.concat(F.lit("hotspot-"), F.col("place").cast("string")).alias("id"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.lit(CLUSTER_RADIUS_M).alias("radius_m"),
         "priority", F.round("score", 4).alias("score"), "detection_count", F.col("newest").alias("last_seen"), "first_seen", F.round("avg_confidence", 4).alias("avg_confidence"), text.alias("description"),
+        *([F.struct("lat", "lng", "score", "avg_confidence").alias("exact")] if exact else []),
     )
 
 
@@ -74,3 +80,8 @@ def near(hotspots: DataFrame, lat: float, lng: float, radius_m: float = CLUSTER_
 
     d = haversine_m(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"))
     return hotspots.where(d <= radius_m).orderBy(F.desc("score"), "id").limit(1)
+
+
+def ranked(hotspots: DataFrame) -> DataFrame:
+    """Hotspots as the service lists them: by falling score, then by id."""
+    return hotspots.orderBy(F.desc("score"), "id")

@@ -78,13 +78,14 @@ def views_to_label(panoramas: DataFrame) -> DataFrame:
 
 def label_packs(views: DataFrame, members: list[str], calibration: int = 2, seed: int = 42) -> DataFrame:
     """(member, file_name, image_id, calibration): ``calibration`` panoramas go to all members, one of each contributor
-    in order of names before any second one; the others are dealt out in order of sequence and id. A batch is small by
-    nature; chance is an order by hash."""
+    in order of names before any second one; the others are dealt out in order of sequence and id. Chance is an order by
+    hash."""
     panoramas = views.groupBy("image_id").agg(F.min("contributor").alias("contributor"), F.min("sequence").alias("sequence")).withColumn("_hash", shuffled("image_id", seed))
     place = F.row_number().over(W.partitionBy("contributor").orderBy("_hash", "image_id"))
     panoramas = panoramas.withColumn("_later", place > 1)
-    order = ["_later", F.when(~F.col("_later"), F.col("contributor")), "_hash", "image_id"]
-    panoramas = panoramas.withColumn("calibration", F.row_number().over(W.orderBy(*order)) <= calibration)
+    order = [F.col("_later"), F.when(~F.col("_later"), F.col("contributor")), F.col("_hash"), F.col("image_id")]
+    shared = panoramas.orderBy(*order).limit(calibration).select("image_id").withColumn("calibration", F.lit(True))
+    panoramas = panoramas.join(F.broadcast(shared), "image_id", "left").na.fill(False, ["calibration"])  # `calibration` rows
     names = F.array(*[F.lit(m) for m in members])
     dealt = deal_out(panoramas.where("not calibration"), [F.coalesce("sequence", F.lit("")), F.col("image_id")], len(members))
     dealt = dealt.select("image_id", "calibration", F.get(names, F.col("member")).alias("member"))

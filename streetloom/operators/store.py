@@ -88,3 +88,37 @@ def jobs_view(log: DataFrame, key: str = "id", order: str = "at") -> DataFrame:
     """Partial updates folded: the last value of each column that is not null."""
     columns = [c for c in log.columns if c not in (key, order)]
     return log.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def live_entries(log: DataFrame, now: int) -> DataFrame:
+    """(key, value, expires) of a cache's log ``(key, value, at, ttl)``: the last write of each key, if it still lives."""
+    x = latest(log, ["key"], [F.desc("at")]).withColumn("expires", F.col("at") + F.col("ttl"))
+    return x.where(F.col("expires") > now).select("key", "value", "expires")
+
+
+def leases(claims: DataFrame, ttl: int) -> DataFrame:
+    """``claims(key, at, owner)``, whole numbers as times, and ``granted``: in order of time (then owner) a claim is
+    granted if the last granted one has run out, that is, started ``ttl`` before.
+
+    The claim after each possible lease comes from one ordered pass; which leases follow from the first of each key is found by
+    doubling jumps, so rounds grow with the logarithm of their number.
+    """
+    from .graph import cut
+
+    me = F.struct("key", "at", "owner")
+    c = claims.select("key", "at", "owner").distinct().withColumn("me", me)
+    # from the last time back: the earliest claim so far is the first at or after a lease's end
+    both = c.select("key", F.col("at").alias("t"), F.lit(0).alias("ends"), F.col("me").alias("claim"), F.lit(None).cast(c.schema["me"].dataType).alias("n"))
+    both = both.unionByName(c.select("key", (F.col("at") + ttl).alias("t"), F.lit(1).alias("ends"), F.lit(None).cast(c.schema["me"].dataType).alias("claim"), F.col("me").alias("n")))
+    back = W.partitionBy("key").orderBy(F.desc("t"), "ends").rowsBetween(W.unboundedPreceding, 0)
+    jumps = cut(both.withColumn("to", F.min("claim").over(back)).where("ends = 1").select("n", "to"))
+    got = cut(jumps.groupBy("n.key").agg(F.min("n").alias("n")).select("n"))
+    while True:
+        new = cut(got.join(jumps, "n").where("to is not null").select(F.col("to").alias("n")).join(got, "n", "left_anti").distinct())
+        if not new.limit(1).count():
+            break
+        got = cut(got.unionByName(new))
+        there = jumps.select(F.col("n").alias("to"), F.col("to").alias("beyond"))
+        jumps = cut(jumps.join(there, "to").where("beyond is not null").select("n", F.col("beyond").alias("to")))
+    granted = got.select(F.col("n.key").alias("key"), F.col("n.at").alias("at"), F.col("n.owner").alias("owner"), F.lit(True).alias("_g"))
+    return claims.select("key", "at", "owner").join(granted, ["key", "at", "owner"], "left").select("key", "at", "owner", F.coalesce("_g", F.lit(False)).alias("granted"))

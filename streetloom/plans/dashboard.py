@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.boxes import area_pct
 from ..operators import analytics, hotspots, store
 from ..sources.fixtures import AS_OF, DET_SQL, detections
-from .base import query
+from .base import leaders_sql, query
+from .places import hav
 
 SEV = "CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END"
 WITH = f"WITH RECURSIVE {DET_SQL}, sev AS (SELECT *, {SEV} AS severity FROM det)"
@@ -23,6 +24,21 @@ ax AS (SELECT d.id, min(c) AS c FROM det d JOIN xs ON d.lng BETWEEN xs.v AND lea
 att AS (SELECT d.*, CASE WHEN ay.r IS NOT NULL AND ax.c IS NOT NULL THEN 'grid-' || (ay.r * 78 + ax.c + 1) END AS cell FROM det d LEFT JOIN ay USING (id) LEFT JOIN ax USING (id))"""
 
 
+def clusters_sql(newest: int | None) -> str:
+    """The leader of each detection's cluster, newest first, as ``cl(id, leader)``; needs WITH RECURSIVE."""
+    cut = f" QUALIFY node <= {newest}" if newest else ""
+    return f"""o AS MATERIALIZED (SELECT id AS node_id, row_number() OVER (ORDER BY detected_at DESC, id) AS node, lat, lng FROM det{cut}),
+e AS MATERIALIZED (SELECT a.node AS a, b.node AS b, b.node AS rb FROM o a JOIN o b ON b.node < a.node AND abs(a.lat - b.lat) < 0.00095 AND {hav('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 100),
+{leaders_sql()}, cl0 AS (SELECT s.node, CASE WHEN s.lead THEN s.node ELSE min(e.b) END AS leader FROM s LEFT JOIN (e JOIN s h ON h.node = e.b AND h.lead) ON e.a = s.node GROUP BY s.node, s.lead),
+cl AS MATERIALIZED (SELECT a.node_id AS id, b.node_id AS leader FROM cl0 JOIN o a ON a.node = cl0.node JOIN o b ON b.node = cl0.leader)"""
+
+
+#: One row for each cluster, as ``hot``.
+HOT_SQL = f"""h0 AS (SELECT leader, avg(lat) AS lat, avg(lng) AS lng, avg(confidence) AS avg_confidence, count(*) AS n, count(DISTINCT image_id) AS images, max(waste_area_pct) AS area, max(detected_at) AS newest, min(detected_at) AS first_seen,
+  max(detected_at) FILTER (WHERE id = leader) AS lead_at FROM det JOIN cl USING (id) GROUP BY 1),
+hot AS MATERIALIZED (SELECT *, 0.3::DOUBLE * least(area / 20, 1) + 0.25::DOUBLE * least(n / 20, 1) + 0.2::DOUBLE * avg_confidence + 0.15::DOUBLE * greatest(0, 1 - ({AS_OF} - newest) / 86400 / 90) + 0.1::DOUBLE * least(images / 5, 1) AS score FROM h0)"""
+
+
 def with_severity(spark, d):
     return detections(spark, d).withColumn("severity", analytics.severity(F.col("confidence")))
 
@@ -122,18 +138,17 @@ def coverage_pct(spark, d):
 
 
 @query(
-    f"{WITH}, {GRID_SQL}, {AT_SQL}, hs AS (SELECT image_id, 0.3::DOUBLE * least(max(waste_area_pct) / 20, 1) + 0.25::DOUBLE * least(count(*) / 20, 1) AS score FROM det GROUP BY 1) "
+    f"{WITH}, {GRID_SQL}, {AT_SQL}, {clusters_sql(2000)}, {HOT_SQL} "
     "SELECT (SELECT count(*) FROM sev) AS total_detections, (SELECT count(DISTINCT image_id) FROM sev) AS total_scans, "
     "(SELECT count(*) FROM sev WHERE severity = 'high') AS high, (SELECT count(*) FROM sev WHERE severity = 'medium') AS medium, (SELECT count(*) FROM sev WHERE severity = 'low') AS low, "
-    "(SELECT count(*) FROM hs) AS hotspot_count, (SELECT count(*) FROM hs WHERE score > 0.4) AS high_priority, "
+    "(SELECT count(*) FROM hot) AS hotspot_count, (SELECT count(*) FROM hot WHERE score > 0.7) AS high_priority, "
     "(SELECT count(DISTINCT cell) FROM att) AS areas_scanned, (SELECT count(*) FROM cells) AS areas_total, "
     f"(SELECT string_agg(d || '=' || n, ',' ORDER BY d) FROM (SELECT strftime(to_timestamp(detected_at) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d, count(*) AS n FROM det WHERE detected_at >= {AS_OF - 30 * 86400} GROUP BY 1)) AS daily_counts"
 )
 def dashboard_stats(spark, d):
-    """Hotspots here are images with a score, so that SQL can repeat it; ``hotspot_snapshot`` has the clustered ones."""
+    """Everything that the dashboard shows, with the hotspots of the service's own refresh."""
     x = with_severity(spark, d)
-    s = F.lit(0.3) * F.least(F.max("waste_area_pct") / 20.0, F.lit(1.0)) + F.lit(0.25) * F.least(F.count("*") / 20.0, F.lit(1.0))
-    hs = x.groupBy("image_id").agg(s.alias("score")).withColumn("priority", F.when(F.col("score") > 0.4, "high").otherwise("low"))
+    hs = hotspots.snapshot(x, hotspots.cluster(x), AS_OF)
     cells = store.grid(spark)
     grid = store.cell_counts(cells, store.attribute(x.select("id", "lat", "lng", "detected_at")))
     out = analytics.stats(x, hs, grid, AS_OF)
@@ -178,25 +193,111 @@ def hotspot_scores(spark, d):
     return x.select("image_id", F.floor(s * 1e6 + 0.5).cast("long").alias("score_micro"))
 
 
-@query()
+@query(f"WITH RECURSIVE {DET_SQL}, {clusters_sql(None)} SELECT id, leader FROM cl")
 def hotspot_leaders(spark, d):
-    """Every detection with the leader of its cluster; no SQL (order-dependent), held against a loop in the tests."""
+    """Every detection with the leader of its cluster."""
     return hotspots.cluster(detections(spark, d), newest=None)
 
 
-@query()
+_SNAPSHOT = f"""WITH RECURSIVE {DET_SQL}, {clusters_sql(2000)}, {HOT_SQL}, sn AS MATERIALIZED (SELECT 'hotspot-' || row_number() OVER (ORDER BY lead_at DESC, leader) AS id, *, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS priority FROM hot)"""
+
+
+@query(
+    f"{_SNAPSHOT} SELECT id, CAST(floor(lat * 1e6 + 0.37::DOUBLE) AS BIGINT) AS lat_micro, CAST(floor(lng * 1e6 + 0.37::DOUBLE) AS BIGINT) AS lng_micro, 100.0::DOUBLE AS radius_m, priority, CAST(floor(score * 1e6 + 0.37::DOUBLE) AS BIGINT) AS score_micro, n AS detection_count, newest AS last_seen, first_seen, "
+    "CAST(floor(avg_confidence * 1e6 + 0.37::DOUBLE) AS BIGINT) AS confidence_micro, true AS rounded, n || ' waste observations near ' AS description FROM sn"
+)
 def hotspot_snapshot(spark, d):
-    """The service's own refresh: the newest 2000 detections (its window) clustered, scored and named."""
+    """The service's own refresh: the newest 2000 detections (its window) clustered, scored and named. Engines round ties
+    apart, so the exact values are compared, and that the rounded ones are near them."""
     x = detections(spark, d)
-    return hotspots.snapshot(x, hotspots.cluster(x), AS_OF)
+    h = hotspots.snapshot(x, hotspots.cluster(x), AS_OF, exact=True)
+    micro = lambda c, n: F.floor(F.col(f"exact.{c}") * 1e6 + 0.37).cast("long").alias(n)
+    near = lambda c, digits: F.abs(F.col(c) - F.col(f"exact.{c}")) <= 0.50001 * 10.0**-digits
+    rounded = near("lat", 6) & near("lng", 6) & near("score", 4) & near("avg_confidence", 4)
+    return h.select(
+        "id", micro("lat", "lat_micro"), micro("lng", "lng_micro"), "radius_m", "priority", micro("score", "score_micro"), "detection_count", "last_seen", "first_seen",
+        micro("avg_confidence", "confidence_micro"), rounded.alias("rounded"), F.substring_index("description", "(", 1).alias("description"),
+    )
+
+
+def _hot_images(spark, d):
+    """Images as hotspots: scores from counts, so that ties occur."""
+    e = F.col("event_id")
+    x = detections(spark, d).groupBy(F.col("image_id").alias("id")).agg(F.min_by("lat", "event_id").alias("lat"), F.min_by("lng", "event_id").alias("lng"), F.count("*").alias("detection_count"), (F.count_if(e % 3 == 0) / F.lit(64.0)).alias("score"))
+    return x.withColumn("priority", hotspots.priority(F.col("score")))
+
+
+HOT_IMAGES = "hi AS (SELECT image_id AS id, arg_min(lat, event_id) AS lat, arg_min(lng, event_id) AS lng, count(*) AS detection_count, count(*) FILTER (WHERE event_id % 3 = 0) / 64.0::DOUBLE AS score FROM det GROUP BY 1)"
+
+
+@query(f"WITH {DET_SQL}, {HOT_IMAGES} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place FROM hi")
+def hotspots_by_score(spark, d):
+    """The list as the service returns it, with the place of each."""
+    from pyspark.sql import Window as W
+
+    return hotspots.ranked(_hot_images(spark, d).select("id", "score", F.row_number().over(W.orderBy(F.desc("score"), "id")).cast("long").alias("place")))
+
+
+@query(f"WITH {DET_SQL}, {HOT_IMAGES} SELECT id, score FROM hi WHERE {hav('18.55::DOUBLE', '73.85::DOUBLE', 'lat', 'lng')} <= 9000 ORDER BY score DESC, id LIMIT 1")
+def hotspot_near(spark, d):
+    """The best hotspot around a place."""
+    return hotspots.near(_hot_images(spark, d), 18.55, 73.85, 9000).select("id", "score")
+
+
+@query(f"WITH {DET_SQL}, {HOT_IMAGES} SELECT id, score, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS priority, detection_count, lng, lat FROM hi")
+def hotspot_geojson(spark, d):
+    """The features of the map's text, read back from it."""
+    feature = "struct<geometry:struct<coordinates:array<double>>,properties:struct<id:string,score:double,priority:string,detection_count:bigint>>"
+    g = analytics.feature_collection(_hot_images(spark, d)).select(F.explode(F.from_json("geojson", f"type string, features array<{feature}>")["features"]).alias("f"))
+    return g.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("lng"), F.col("f.geometry.coordinates")[1].alias("lat"))
+
+
+@query(f"WITH {DET_SQL}, j AS (SELECT image_id AS id, max(detected_at) AS started_at, count(*) AS processed FROM det GROUP BY 1) SELECT id, started_at, processed FROM j ORDER BY started_at DESC, id LIMIT 50")
+def latest_jobs(spark, d):
+    """The service's own window of fifty."""
+    x = detections(spark, d).groupBy(F.col("image_id").alias("id")).agg(F.max("detected_at").alias("started_at"), F.count("*").alias("processed"))
+    return analytics.latest_jobs(x)
+
+
+@query(f"WITH RECURSIVE {DET_SQL}, {GRID_SQL}, {AT_SQL}, hit AS (SELECT DISTINCT cell FROM att WHERE CAST(id AS BIGINT) % 50 = 0 AND cell IS NOT NULL) SELECT cells.id, hit.cell IS NOT NULL AS scanned, CASE WHEN hit.cell IS NOT NULL THEN {AS_OF} ELSE 0 END AS last_scanned FROM cells LEFT JOIN hit ON hit.cell = cells.id")
+def mark_scanned(spark, d):
+    """Cells marked by a list of ids that names some twice."""
+    cells = store.grid(spark).select("id", F.lit(False).alias("scanned"), F.lit(0).cast("long").alias("last_scanned"))
+    ids = store.attribute(detections(spark, d).where("event_id % 50 = 0")).where("cell is not null").select(F.col("cell").alias("id"))
+    return store.mark_scanned(cells, ids, AS_OF).select("id", "scanned", F.col("last_scanned").cast("long").alias("last_scanned"))
 
 
 @query(
-    f"WITH {DET_SQL}, g AS (SELECT image_id AS id, arg_min(lat, event_id) AS lat, arg_min(lng, event_id) AS lng, count(*) AS n FROM det GROUP BY 1) "
-    "SELECT count(*) AS features, CAST(sum(n) AS BIGINT) AS detections FROM g"
+    f"WITH {DET_SQL} SELECT id, strftime(to_timestamp(detected_at) AT TIME ZONE 'UTC', '%m-%d') AS short_day, strftime(to_timestamp(detected_at) AT TIME ZONE 'UTC', '%-d %b %Y') AS shown_date, CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '%' AS shown_confidence, "
+    "CAST(floor(x1 * 100 * 1e4 + 0.37::DOUBLE) AS BIGINT) AS css_left, CAST(floor((y2 - y1) * 100 * 1e4 + 0.37::DOUBLE) AS BIGINT) AS css_height FROM det"
 )
-def hotspot_geojson(spark, d):
-    x = detections(spark, d).groupBy(F.col("image_id").alias("id")).agg(F.min_by("lat", "event_id").alias("lat"), F.min_by("lng", "event_id").alias("lng"), F.count("*").alias("detection_count"))
-    x = x.withColumn("score", F.lit(0.5)).withColumn("priority", F.lit("low"))
-    g = analytics.feature_collection(x).select(F.from_json("geojson", "type string, features array<struct<type:string,properties:struct<id:string,detection_count:bigint>>>").alias("g"))
-    return g.select(F.size("g.features").cast("long").alias("features"), F.aggregate("g.features", F.lit(0).cast("long"), lambda a, f: a + f["properties"]["detection_count"]).alias("detections"))
+def display_values(spark, d):
+    """What the page shows of each detection: dates, per cent, the frame of the box."""
+    box = analytics.css_box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    part = lambda n: F.floor(box[n] * 1e4 + 0.37).cast("long").alias(f"css_{n}")
+    return detections(spark, d).select(
+        "id", analytics.short_day(analytics.utc_day(F.col("detected_at"))).alias("short_day"), analytics.shown_date(F.col("detected_at") * 1000).alias("shown_date"),
+        analytics.shown_percent(F.col("confidence")).alias("shown_confidence"), part("left"), part("height"),
+    )
+
+
+@query(
+    f"WITH {DET_SQL}, l AS (SELECT image_id AS key, event_id AS w, 'v' || event_id AS value, CASE WHEN event_id % 4 = 0 THEN 86400 ELSE 600 END * 50 AS ttl FROM det), m AS (SELECT key, max(w) AS w, arg_max(value, w) AS value, arg_max(ttl, w) AS ttl FROM l GROUP BY 1) "
+    "SELECT key, value, w + ttl AS expires FROM m WHERE w + ttl > (SELECT max(w) + 25000 FROM l)"
+)
+def live_entries(spark, d):
+    """What a cache with times to live still holds a while after the last write."""
+    e = F.col("event_id")
+    log = detections(spark, d).select(F.col("image_id").alias("key"), e.alias("at"), F.concat(F.lit("v"), e.cast("string")).alias("value"), (F.when(e % 4 == 0, 86400).otherwise(600) * 50).cast("long").alias("ttl"))
+    now = log.agg(F.max("at")).first()[0] + 25_000
+    return store.live_entries(log, now)
+
+
+@query(
+    f"WITH RECURSIVE {DET_SQL}, c AS MATERIALIZED (SELECT view_id AS key, event_id AS t, image_id AS owner, row_number() OVER (PARTITION BY view_id ORDER BY event_id, image_id) AS k FROM det), "
+    "r AS (SELECT key, k, t, owner, t + 300 AS until, true AS granted FROM c WHERE k = 1 UNION ALL SELECT c.key, c.k, c.t, c.owner, CASE WHEN c.t >= r.until THEN c.t + 300 ELSE r.until END, c.t >= r.until FROM r JOIN c ON c.key = r.key AND c.k = r.k + 1) SELECT key, t AS \"at\", owner, granted FROM r"
+)
+def lease_grants(spark, d):
+    """Claims of a lease: one is granted if the one before has run out."""
+    x = detections(spark, d).select(F.col("view_id").alias("key"), F.col("event_id").alias("at"), F.col("image_id").alias("owner"))
+    return store.leases(x, 300)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import dataset, derive, diagnose
 from ..sources import files
 from ..sources.fixtures import DET_SQL, PANO_SQL, detections, panoramas, table
-from .base import query
+from .base import leaders_sql, query
+from .places import hav
 
 FILES_SQL = "files AS (SELECT doc_id AS id, source AS grp, sha256(text) AS sha FROM documents)"
 PWITH = f"WITH RECURSIVE {DET_SQL}, {PANO_SQL}"
@@ -31,14 +32,36 @@ def connected_components(spark, d):
     return dataset.duplicate_groups(x)
 
 
-_BITS = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << (62 - i)} ELSE 0 END)::BIGINT" for i in range(63))
+#: The signs of all 64 numbers as one word; the first is the sign bit.
+_BITS = " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {-(1 << 63) if i == 0 else 1 << (63 - i)} ELSE 0 END)::BIGINT" for i in range(64))
+_HASH_SQL = f"h AS (SELECT vec_id AS id, 'b' || label AS batch, CASE WHEN vec_id % 5 = 0 THEN 'val' WHEN vec_id % 5 = 1 THEN 'test' ELSE 'train' END AS split, {_BITS} AS w FROM embeddings)"
 
 
-@query(f"WITH h AS (SELECT vec_id AS id, {_BITS} AS w FROM embeddings) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.w, b.w)) <= 18")
+def _hashes(spark, d):
+    bit = lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(F.when(v > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    v = F.col("vec_id")
+    split = F.when(v % 5 == 0, "val").when(v % 5 == 1, "test").otherwise("train")
+    return table(spark, d, "embeddings").select(v.alias("id"), F.concat(F.lit("b"), F.col("label").cast("string")).alias("batch"), split.alias("split"), F.aggregate("embedding", F.lit(0).cast("long"), bit).alias("w"))
+
+
+@query(f"WITH {_HASH_SQL} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.w, b.w)) <= 18")
 def hamming_pairs(spark, d):
-    word = F.aggregate(F.slice("embedding", 1, 63), F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1).bitwiseOR(F.when(v > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
-    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), word.alias("w"))
-    return dataset.hamming_pairs(x, 18, ["w"])
+    return dataset.hamming_pairs(_hashes(spark, d), 18, ["w"])
+
+
+@query(f"WITH {_HASH_SQL} SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id AND a.batch <> b.batch WHERE bit_count(xor(a.w, b.w)) <= 18")
+def hamming_cross_group(spark, d):
+    """Pairs of different batches only."""
+    return dataset.hamming_pairs(_hashes(spark, d), 18, ["w"], apart="batch")
+
+
+@query(f"WITH {_HASH_SQL} SELECT a.id AS a, b.id AS b, a.split || '/' || b.split AS splits, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id AND a.split <> b.split WHERE bit_count(xor(a.w, b.w)) <= 18")
+def hamming_cross_split(spark, d):
+    """Pairs of different splits only: possible leaks, the nearest first."""
+    h = _hashes(spark, d)
+    x = dataset.hamming_pairs(h, 18, ["w"], apart="split")
+    x = x.join(h.select(F.col("id").alias("a"), F.col("split").alias("sa")), "a").join(h.select(F.col("id").alias("b"), F.col("split").alias("sb")), "b")
+    return x.select("a", "b", F.concat_ws("/", "sa", "sb").alias("splits"), "distance").orderBy("distance", "a", "b")
 
 
 @query(
@@ -79,16 +102,24 @@ def deal_out(spark, d):
     return dataset.deal_out(panoramas(spark, d).select("id", "sequence"), [F.asc("sequence"), F.asc("id")], 4).select("id", "member")
 
 
-@query()
+@query(
+    f"{PWITH}, o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5('11:' || id), id) AS node FROM pano), "
+    f"e AS MATERIALIZED (SELECT a.node AS a, b.node AS b, b.node AS rb FROM o a JOIN o b ON a.sequence = b.sequence AND b.node < a.node AND round_even({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 0) < 400), "
+    f"{leaders_sql()} SELECT id, sequence, lat, lng FROM o JOIN s USING (node) WHERE lead"
+)
 def spaced_selection(spark, d):
-    """Greedy choice 400 m apart in each sequence; held against a loop in the tests."""
+    """Greedy choice 400 m apart in each sequence."""
     return dataset.spaced(panoramas(spark, d).select("id", "sequence", "lat", "lng"), 400, 11)
 
 
-@query()
+@query(
+    f"{PWITH}, k AS MATERIALIZED (SELECT sequence, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY captured_at, id) AS i FROM pano) WHERE i % 3 = 1), "
+    f"e AS MATERIALIZED (SELECT DISTINCT a.sequence AS a, b.sequence AS b FROM k a JOIN k b ON a.sequence <> b.sequence AND round_even({hav('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 0) < 1500), "
+    "r AS (SELECT DISTINCT sequence AS n, sequence AS c FROM pano UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n) SELECT n AS sequence, min(c) AS component FROM r GROUP BY 1"
+)
 def location_groups(spark, d):
-    """Sequences that pass within 100 m; held against union-find in the tests."""
-    return dataset.location_groups(panoramas(spark, d).select("id", "sequence", "lat", "lng", "captured_at"), 100)
+    """Sequences that pass within 1500 m of each other."""
+    return dataset.location_groups(panoramas(spark, d).select("id", "sequence", "lat", "lng", "captured_at"), 1500)
 
 
 _GROUPS = "g AS (SELECT 'g' || (user_id % 12) AS name, count(DISTINCT image_id) AS panoramas, count(*) AS views, count(*) FILTER (WHERE event_id % 3 = 0) AS litter_views, CAST(sum(event_id % 4) AS BIGINT) AS regions FROM det GROUP BY 1)"
@@ -96,9 +127,8 @@ _GROUPS = "g AS (SELECT 'g' || (user_id % 12) AS name, count(DISTINCT image_id)
 
 def _groups(spark, d):
     e = F.col("event_id")
-    return detections(spark, d).groupBy(F.concat(F.lit("g"), (F.col("user_id") % 12).cast("string")).alias("name")).agg(
-        F.countDistinct("image_id").alias("panoramas"), F.count("*").alias("views"), F.count_if(e % 3 == 0).alias("litter_views"), F.sum(e % 4).alias("regions")
-    )
+    name = F.concat(F.lit("g"), (F.col("user_id") % 12).cast("string"))
+    return dataset.group_statistics(detections(spark, d).select(name.alias("name"), F.col("image_id").alias("panorama"), (e % 3 == 0).alias("litter"), (e % 4).alias("regions")))
 
 
 @query(f"WITH {DET_SQL}, {_GROUPS} SELECT * FROM g")
@@ -115,18 +145,63 @@ def subset_search(spark, d):
     return dataset.choose_validation(_groups(spark, d))
 
 
+#: Boxes in pixels, some a little left of the image and some twice; images of which some have another size, turn, mode or no boxes.
+_QA_SQL = """q0 AS (SELECT image_id AS image, event_id AS idx, x1 * 900 - CASE WHEN event_id % 17 = 0 THEN 0.3::DOUBLE ELSE 0 END AS x, y1 * 900 AS y, (x2 - x1) * 30 AS w, (y2 - y1) * 900 AS h FROM det),
+qb AS MATERIALIZED (SELECT * FROM q0 UNION ALL SELECT image, idx + 1000000000, x, y + 0.01::DOUBLE, w, h FROM q0 WHERE idx % 13 = 0),
+qi AS MATERIALIZED (SELECT DISTINCT image_id AS image, user_id AS u FROM det UNION SELECT 'empty-' || user_id, user_id FROM det WHERE user_id % 5 = 0),
+qim AS MATERIALIZED (SELECT image, u, 640 AS width, 640 AS height, CASE WHEN u % 7 = 0 THEN 641 ELSE 640 END AS real_width, 640 AS real_height, CASE WHEN u % 11 = 0 THEN 6 ELSE 1 END AS orientation, CASE WHEN u % 9 = 0 THEN 'L' ELSE 'RGB' END AS mode,
+  CASE WHEN u % 3 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN u % 6 <> 1 THEN 'http://x/' || u END AS source_url, CAST((u * 37) % 101 AS DOUBLE) AS sharpness FROM qi)"""
+_QA_IOU = "(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))"
+_QA_FLAGS = f"""qf AS MATERIALIZED (SELECT image, 0 AS o, 0 AS idx, 0 AS other, 'size differs from annotation' AS f FROM qim WHERE real_width <> width OR real_height <> height
+  UNION ALL SELECT image, 1, 0, 0, 'EXIF orientation ' || orientation FROM qim WHERE orientation <> 1 UNION ALL SELECT image, 2, 0, 0, 'mode ' || mode FROM qim WHERE mode <> 'RGB'
+  UNION ALL SELECT image, 3, idx, 0, 'box ' || idx || ' outside or empty' FROM qb JOIN qim USING (image) WHERE w <= 0 OR h <= 0 OR x < 0 OR y < 0 OR x + w > real_width + 0.5::DOUBLE OR y + h > real_height + 0.5::DOUBLE
+  UNION ALL SELECT image, 4, idx, 0, 'box ' || idx || ' under 2px' FROM qb WHERE least(w, h) < 2
+  UNION ALL SELECT a.image, 5, a.idx, b.idx, 'boxes ' || a.idx || ' and ' || b.idx || ' nearly equal' FROM qb a JOIN qb b ON a.image = b.image AND a.idx < b.idx
+    WHERE {_QA_IOU} / nullif(((a.x + a.w) - a.x) * ((a.y + a.h) - a.y) + ((b.x + b.w) - b.x) * ((b.y + b.h) - b.y) - {_QA_IOU}, 0) > 0.9
+  UNION ALL SELECT image, 6, 0, 0, 'no boxes' FROM qim WHERE image NOT IN (SELECT image FROM qb))"""
+
+
+def _qa(spark, d):
+    x, e, u = detections(spark, d), F.col("event_id"), F.col("u")
+    b = x.select(
+        F.col("image_id").alias("image"), e.alias("idx"), (F.col("x1") * 900 - F.when(e % 17 == 0, 0.3).otherwise(F.lit(0.0))).alias("x"), (F.col("y1") * 900).alias("y"),
+        ((F.col("x2") - F.col("x1")) * 30).alias("w"), ((F.col("y2") - F.col("y1")) * 900).alias("h"),
+    )
+    b = b.unionByName(b.where("idx % 13 = 0").withColumns({"idx": F.col("idx") + 1_000_000_000, "y": F.col("y") + 0.01}))
+    i = x.select(F.col("image_id").alias("image"), F.col("user_id").alias("u")).distinct()
+    i = i.unionByName(i.where("u % 5 = 0").withColumn("image", F.concat(F.lit("empty-"), u.cast("string"))))
+    i = i.select(
+        "image", F.lit(640).alias("width"), F.lit(640).alias("height"), F.when(u % 7 == 0, 641).otherwise(640).alias("real_width"), F.lit(640).alias("real_height"),
+        F.when(u % 11 == 0, 6).otherwise(1).alias("orientation"), F.when(u % 9 == 0, "L").otherwise("RGB").alias("mode"), F.when(u % 3 == 0, "val").otherwise("train").alias("split"),
+        F.when(u % 6 != 1, F.concat(F.lit("http://x/"), u.cast("string"))).alias("source_url"), ((u * 37) % 101).cast("double").alias("sharpness"),
+    )
+    return b, i
+
+
+@query(f"WITH {DET_SQL}, {_QA_SQL}, {_QA_FLAGS} SELECT image, string_agg(f, '; ' ORDER BY o, idx, other) AS flags FROM qf GROUP BY 1")
+def quality_flags(spark, d):
+    """All kinds of flags of all images and boxes."""
+    return dataset.quality_flags(*_qa(spark, d)).withColumn("flags", F.array_join("flags", "; "))
+
+
 @query(
-    f"""WITH {DET_SQL}, b AS (SELECT image_id AS image, event_id AS idx, x1 * 900 AS x, y1 * 900 AS y, (x2 - x1) * 30 AS w, (y2 - y1) * 900 AS h FROM det WHERE event_id % 10 <> 0),
-    f AS (SELECT CASE WHEN x + w > 640.5 OR y + h > 640.5 THEN 'outside' WHEN w < 2 OR h < 2 THEN 'small' END AS kind FROM b) SELECT kind, count(*) AS count FROM f WHERE kind IS NOT NULL GROUP BY 1"""
+    f"""WITH {DET_SQL}, {_QA_SQL}, {_QA_FLAGS}, x AS (SELECT min(image) AS a, max(image) AS b FROM qim WHERE image LIKE 'pano-%'),
+    g AS MATERIALIZED (SELECT image, o * 1000000000000 + row_number() OVER (PARTITION BY image ORDER BY o, idx, other) AS o, f FROM qf UNION ALL SELECT image, 7000000000000, 'missing source URL' FROM qim WHERE source_url IS NULL
+      UNION ALL SELECT image, 8000000000000, 'sharpness in lowest 5% (review)' FROM qim WHERE sharpness < (SELECT quantile_cont(sharpness, 0.05) FROM qim)
+      UNION ALL SELECT unnest([a, b]), 9000000000000, 'possible related image across splits: ' || a || '/' || b || ' (distance 3)' FROM x),
+    rec AS MATERIALIZED (SELECT q.image, q.split, (SELECT string_agg(f, '; ' ORDER BY o) FROM g WHERE g.image = q.image) AS reasons, (SELECT count(*) FROM g WHERE g.image = q.image AND f NOT LIKE 'no boxes%') > 0 AS flagged,
+      coalesce((SELECT median(round(least(w, h) * 640.0::DOUBLE / 640, 1)) FROM qb WHERE qb.image = q.image), 0) AS m FROM qim q),
+    st AS (SELECT *, CASE WHEN m < 16 THEN '<16' WHEN m < 32 THEN '16-32' ELSE '>=32' END AS size_class FROM rec WHERE NOT flagged),
+    nn AS (SELECT split, size_class, count(*) AS n FROM st GROUP BY 1, 2), qu AS (SELECT split, size_class, greatest(1, CAST(round_even(6 * n / (SELECT sum(n) FROM nn), 0) AS INT)) AS quota FROM nn),
+    sa AS (SELECT image FROM (SELECT st.*, row_number() OVER (PARTITION BY split, size_class ORDER BY md5('3:' || image), image) AS k FROM st) JOIN qu USING (split, size_class) WHERE k <= quota)
+    SELECT image, split, coalesce(reasons, 'stratified sample') AS reasons FROM rec WHERE flagged OR image IN (SELECT image FROM sa)"""
 )
-def quality_flags(spark, d):
-    x = detections(spark, d).where("event_id % 10 <> 0").select(
-        F.col("image_id").alias("image"), F.col("event_id").alias("idx"), (F.col("x1") * 900).alias("x"), (F.col("y1") * 900).alias("y"), ((F.col("x2") - F.col("x1")) * 30).alias("w"), ((F.col("y2") - F.col("y1")) * 900).alias("h")
-    )
-    images = detections(spark, d).select(F.col("image_id").alias("image"), F.lit(640).alias("width"), F.lit(640).alias("height")).distinct()
-    flags = dataset.quality_flags(x, images).select(F.explode("flags").alias("f"))
-    kind = F.when(F.col("f").endswith("outside or empty"), "outside").when(F.col("f").endswith("under 2px"), "small")
-    return flags.select(kind.alias("kind")).where("kind is not null").groupBy("kind").agg(F.count("*").alias("count"))
+def quality_queue(spark, d):
+    """The images to look at: all with a flag, and a sample of the others."""
+    boxes, images = _qa(spark, d)
+    ends = images.where("image like 'pano-%'").agg(F.min("image").alias("a"), F.max("image").alias("b"), F.lit(3).alias("distance"))
+    boxes = boxes.withColumns({"w": F.col("w"), "h": F.col("h")})
+    return dataset.quality_report(boxes, images, 6, 3, ends)[1]
 
 
 @query("SELECT split_part(split_part(event_type || ': ' || user_id, ':', 1), ' (', 1) AS kind, count(*) AS count FROM events GROUP BY 1 ORDER BY 2 DESC, 1")
@@ -191,10 +266,81 @@ def label_lines(spark, d):
     return files.label_lines(x)
 
 
-@query("SELECT doc_id, doc_id % 4 = 0 AS ok FROM documents")
+@query(f"WITH {DET_SQL} SELECT id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND (event_id % 3 <> 0 OR (x1 + x2) / 2 + (x2 - x1) * 3 <= 1.000001) AND (x2 - x1) > 0 AS ok FROM det")
 def label_line_rules(spark, d):
-    line = F.element_at(F.array(F.lit("0 0.5 0.5 0.2 0.2"), F.lit("1 0.5 0.5 0.2 0.2"), F.lit("0 0.95 0.5 0.2 0.2"), F.lit("0 0.5 x 0.2")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, d, "documents").select("doc_id", files.label_line_ok(line).alias("ok"))
+    """Lines of boxes, some of them shifted over the edge, of another class, short of a number or with a word in them."""
+    e, w = F.col("event_id"), F.col("x2") - F.col("x1")
+    cx = (F.col("x1") + F.col("x2")) / 2 + F.when(e % 3 == 0, w * 2.5).otherwise(F.lit(0.0))
+    number = lambda v: F.format_string("%.12f", v)
+    parts = [F.when(e % 5 == 0, "1").otherwise("0"), number(cx), number((F.col("y1") + F.col("y2")) / 2), F.when(e % 7 == 0, "wide").otherwise(number(w)), F.when(e % 11 != 0, number(F.col("y2") - F.col("y1")))]
+    return detections(spark, d).select("id", files.label_line_ok(F.concat_ws(" ", *parts)).alias("ok"))
+
+
+@query(
+    f"WITH {DET_SQL}, b AS (SELECT image_id, greatest(0, least(1, (x1 * 1000 - 5) / 900)) AS x1, greatest(0, least(1, (y1 * 1000 - 5) / 800)) AS y1, greatest(0, least(1, (x1 * 1000 - 5 + (x2 - x1) * 1000) / 900)) AS x2, greatest(0, least(1, (y1 * 1000 - 5 + (y2 - y1) * 1000) / 800)) AS y2 FROM det) "
+    "SELECT image_id, count(*) AS boxes, CAST(sum(CAST(floor(x1 * 1e6 + 0.37::DOUBLE) AS BIGINT)) AS BIGINT) AS x1_micro, CAST(sum(CAST(floor(y2 * 1e6 + 0.37::DOUBLE) AS BIGINT)) AS BIGINT) AS y2_micro FROM b WHERE x2 > x1 AND y2 > y1 GROUP BY 1"
+)
+def coco_boxes(spark, d):
+    """Annotations in pixels as boxes of their images."""
+    x = detections(spark, d)
+    images = x.select(F.col("image_id").alias("id"), F.lit(900).alias("width"), F.lit(800).alias("height")).distinct()
+    px = lambda c: F.col(c) * 1000
+    ann = x.select("image_id", F.array(px("x1") - 5, px("y1") - 5, (F.col("x2") - F.col("x1")) * 1000, (F.col("y2") - F.col("y1")) * 1000).alias("bbox"))
+    total = lambda c: F.sum(F.floor(F.col(c) * 1e6 + 0.37).cast("long")).alias(f"{c}_micro")
+    return dataset.coco_boxes(images, ann).groupBy("image_id").agg(F.count("*").alias("boxes"), total("x1"), total("y2"))
+
+
+@query("SELECT d.doc_id, d.source, d.doc_id % 3 AS fold FROM documents d")
+def must_match(spark, d):
+    """Every source has its row, or it is an error."""
+    x = table(spark, d, "documents").select("doc_id", "source")
+    folds = x.select("doc_id", (F.col("doc_id") % 3).alias("fold"))
+    return dataset.must_match(x, folds, ["doc_id"])
+
+
+@query("SELECT doc_id AS image, CASE WHEN doc_id % 8 < 5 THEN 'licence ' || (doc_id % 8) ELSE 'unknown' END AS license_name, CASE WHEN doc_id % 3 = 0 THEN 'by ' || source ELSE '' END AS credit FROM documents")
+def licence_lookup(spark, d):
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("image"), (F.col("doc_id") % 8).cast("int").alias("license"), "source")
+    names = spark.range(5).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("licence "), F.col("id").cast("string")).alias("name"))
+    credits = x.where("image % 3 = 0").select("image", F.concat(F.lit("by "), "source").alias("credit"))
+    return dataset.with_licence(x, names, credits).select("image", "license_name", "credit")
+
+
+@query(
+    "WITH t AS (SELECT p_partkey // 40 AS tile, count(*) AS parts, count(*) FILTER (WHERE p_partkey % 3 = 0) AS clean, sum(p_size % 4) AS labels, (min(p_size) % 10) / 20.0::DOUBLE AS grey FROM part GROUP BY 1) "
+    "SELECT CAST(round(avg(parts) * 100) AS BIGINT) AS parts_cent, CAST(round(avg(grey) * 1000) AS BIGINT) AS grey_milli, CAST(round(avg(labels) * 10) AS BIGINT) AS labels_tenth, CAST(round(avg(clean / parts) * 1000) AS BIGINT) AS clean_milli, count(*) FILTER (WHERE labels = 0) AS tiles_without_labels FROM t"
+)
+def derivative_means(spark, d):
+    k = F.col("p_partkey")
+    x = table(spark, d, "part").groupBy(F.floor(k / 40).alias("tile")).agg(
+        F.count("*").alias("parts"), F.count_if(k % 3 == 0).alias("clean_parts"), F.sum(F.col("p_size") % 4).alias("labels"), ((F.min("p_size") % 10) / F.lit(20.0)).alias("grey_share")
+    )
+    m = derive.derivative_means(x)
+    whole = lambda c, f, n: F.rint(F.col(c) * f).cast("long").alias(n)
+    return m.select(whole("photos_per_tile", 100, "parts_cent"), whole("grey_share", 1000, "grey_milli"), whole("labels_per_tile", 10, "labels_tenth"), whole("clean_share_of_parts", 1000, "clean_milli"), "tiles_without_labels")
+
+
+@query(
+    f"WITH {DET_SQL}, b AS (SELECT image_id AS photo, user_id AS u, median(greatest((x2 - x1) * 1000, (y2 - y1) * 1000)) FILTER (WHERE event_id % 4 = 0) AS ref FROM det GROUP BY 1, 2), "
+    "k AS (SELECT photo, u, least(1, greatest(coalesce(least(1, (10 + u % 90) / ref), (96 + ((u * 13) % 100) / 100.0::DOUBLE * (640 - 96)) / greatest(300 + u % 900, 400)), 96.0::DOUBLE / greatest(300 + u % 900, 400))) AS scale FROM b) "
+    "SELECT photo, CAST(floor(scale * 1e6 + 0.37::DOUBLE) AS BIGINT) AS scale_micro, CASE WHEN 200 + u % 800 <= 640 THEN 0 ELSE CAST(trunc(least(greatest((u * 7) % 900 - (0.2::DOUBLE + 0.6::DOUBLE * (((u * 11) % 100) / 100.0::DOUBLE)) * 640, 0), 200 + u % 800 - 640)) AS BIGINT) END AS origin FROM k"
+)
+def street_scales(spark, d):
+    """How small a photo is drawn so that its objects look as from the street, and where a window on it starts."""
+    x, u = detections(spark, d), F.col("u")
+    b = x.where("event_id % 4 = 0").select(F.col("image_id").alias("photo"), *[(F.col(c) * 1000).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    p = x.select(F.col("image_id").alias("photo"), F.col("user_id").alias("u")).distinct().join(derive.reference_side(b), "photo", "left")
+    scale = derive.street_scale((10 + u % 90).cast("double"), F.col("reference"), (300 + u % 900).cast("double"), F.lit(400.0), ((u * 13) % 100) / F.lit(100.0), 96.0)
+    start = derive.centred_origin(200 + u % 800, F.lit(640), ((u * 7) % 900).cast("double"), ((u * 11) % 100) / F.lit(100.0))
+    return p.select("photo", F.floor(scale * 1e6 + 0.37).cast("long").alias("scale_micro"), start.alias("origin"))
+
+
+@query("SELECT vec_id AS id, CAST(floor(var_pop(4 * m[r * 8 + c] - m[r * 8 + c - 8] - m[r * 8 + c + 8] - m[r * 8 + c - 1] - m[r * 8 + c + 1]) * 1e6 + 0.37::DOUBLE) AS BIGINT) AS sharpness_micro FROM (SELECT vec_id, [CAST(floor(x * 100) AS DOUBLE) for x in embedding] AS m FROM embeddings), range(1, 7) a(r), range(2, 8) b(c) GROUP BY 1")
+def sharpness(spark, d):
+    """The numbers of a vector as a small grey image."""
+    row = lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda v: F.floor(v.cast("double") * 100).cast("double"))
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[row(i) for i in range(8)]).alias("pixels"))
+    return derive.laplacian_variance(x).select("id", F.floor(F.col("sharpness") * 1e6 + 0.37).cast("long").alias("sharpness_micro"))
 
 
 @query(f"WITH {DET_SQL} SELECT id, label, CAST(floor(greatest(0, x1 - 0.05) * 1e6 + 0.5) AS BIGINT) AS left_micro FROM det WHERE event_id % 4 <> 3")

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, review
-from ..operators.graph import cut
+from ..operators.graph import cut, numbered
 from ..sources.fixtures import DET_SQL, REVIEW_SQL, detections, reviews, table
 from ..streaming import incremental
-from .base import query
+from .base import one_to_one_sql, query
+from .dashboard import AT_SQL, GRID_SQL
+from .evaluation import iou_sql
 
 WITH = f"WITH {DET_SQL}, {REVIEW_SQL}"
 
@@ -55,11 +57,43 @@ def pack_merge(spark, d):
     return review.merge_packs(pack, target, known).groupBy("result").agg(F.count("*").alias("count"))
 
 
-@query()
+_ANSWERS = "an AS MATERIALIZED (SELECT 'v' || (event_id // 9) AS view, 'r' || (event_id % 3) AS reviewer, event_id AS idx, CASE WHEN event_id % 7 = 0 THEN 'skip' ELSE 'litter' END AS status, x1 + (event_id % 3) * 0.001::DOUBLE AS x1, y1, x2, y2 FROM det), "
+#: Answers to the same objects: each reviewer of a view draws the boxes of all its events, a little apart.
+_AGREE = f"""bx AS MATERIALIZED (SELECT a.view, r.reviewer, a.idx, a.x1 + CAST(substr(r.reviewer, 2) AS INT) * 0.002::DOUBLE * (a.idx % 5) AS x1, a.y1, a.x2, a.y2 FROM an a JOIN (SELECT DISTINCT view, reviewer FROM an) r USING (view) WHERE (a.idx + ascii(r.reviewer[2])) % 4 <> 0),
+who AS MATERIALIZED (SELECT a.view, a.reviewer AS a, b.reviewer AS b FROM (SELECT DISTINCT view, reviewer FROM bx) a JOIN (SELECT DISTINCT view, reviewer FROM bx) b ON a.view = b.view AND a.reviewer < b.reviewer),
+pr AS MATERIALIZED (SELECT w.view || '|' || w.a || '|' || w.b AS image, p.idx AS prediction, t.idx AS truth, {iou_sql('p', 't')} AS iou FROM who w JOIN bx p ON p.view = w.view AND p.reviewer = w.a JOIN bx t ON t.view = w.view AND t.reviewer = w.b WHERE {iou_sql('p', 't')} >= 0.5),
+{one_to_one_sql('pr', 'iou DESC, prediction DESC, truth DESC')},
+ag AS MATERIALIZED (SELECT view, a, b, 2 * coalesce(n, 0) / (na + nb) AS f1 FROM (SELECT w.*, (SELECT count(*) FROM bx WHERE bx.view = w.view AND reviewer = a) AS na, (SELECT count(*) FROM bx WHERE bx.view = w.view AND reviewer = b) AS nb, (SELECT count(*) FROM m WHERE image = w.view || '|' || w.a || '|' || w.b) AS n FROM who w))"""
+
+
+def _answers(spark, d):
+    e = F.col("event_id")
+    a = detections(spark, d).select(
+        F.concat(F.lit("v"), F.floor(e / 9).cast("string")).alias("view"), F.concat(F.lit("r"), (e % 3).cast("string")).alias("reviewer"), e.alias("idx"),
+        F.when(e % 7 == 0, "skip").otherwise("litter").alias("status"), (F.col("x1") + (e % 3) * 0.001).alias("x1"), "y1", "x2", "y2",
+    )
+    who = a.select("view", "reviewer").distinct()
+    number = F.substring("reviewer", 2, 1)
+    b = a.drop("reviewer", "status").join(who, "view").where((F.col("idx") + F.ascii(number)) % 4 != 0)
+    return a, b.withColumn("x1", F.col("x1") + number.cast("int") * F.lit(0.002) * (F.col("idx") % 5))
+
+
+@query(f"WITH RECURSIVE {DET_SQL}, {_ANSWERS}{_AGREE} SELECT view, a, b, CAST(floor(f1 * 1e6 + 0.37::DOUBLE) AS BIGINT) AS f1_micro FROM ag")
 def calibration_agreement(spark, d):
-    """Agreement of reviewers over their boxes; held against a loop in the tests."""
-    x = detections(spark, d).select(F.concat(F.lit("v"), (F.col("event_id") / 9).cast("long").cast("string")).alias("view"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("reviewer"), F.col("event_id").alias("idx"), "x1", "y1", "x2", "y2")
-    return evaluate.agreement(x)
+    """Agreement of reviewers over their boxes."""
+    x = evaluate.agreement(_answers(spark, d)[1])
+    return x.select("view", "a", "b", F.floor(F.col("f1") * 1e6 + 0.37).cast("long").alias("f1_micro"))
+
+
+@query(
+    f"WITH RECURSIVE {DET_SQL}, {_ANSWERS}{_AGREE}, f AS (SELECT view, round(avg(f1), 3) AS f FROM ag GROUP BY 1), sv AS (SELECT view, count(DISTINCT reviewer) AS reviewers, count(DISTINCT status) = 1 AS statuses_agree FROM an GROUP BY 1) "
+    "SELECT view, reviewers, statuses_agree, CAST(round(f * 1000) AS BIGINT) AS f1_milli, NOT statuses_agree OR coalesce(f < 0.7, false) AS discuss FROM sv LEFT JOIN f USING (view)"
+)
+def calibration_report(spark, d):
+    """What each view's reviewers agree on, and which views to discuss."""
+    a, b = _answers(spark, d)
+    x = evaluate.calibration(b, a.select("view", "reviewer", "status"))
+    return x.select("view", "reviewers", "statuses_agree", F.rint(F.col("mean_f1") * 1000).cast("long").alias("f1_milli"), "discuss")
 
 
 @query("WITH o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS a, CASE WHEN doc_id % 3 = 0 THEN source END AS b FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS a, source AS b FROM documents) SELECT doc_id, CASE WHEN o.a = '' THEN n.a ELSE o.a END AS a, coalesce(o.b, n.b) AS b, CASE WHEN o.a <> '' AND o.a <> n.a THEN 'a' ELSE '' END AS conflicts, o.a = '' OR o.b IS NULL AS filled FROM o JOIN n USING (doc_id)")
@@ -72,15 +106,13 @@ def sheet_merge(spark, d):
 
 @query(f"{WITH}, v AS (SELECT view, arg_max(status, revision) AS status, row_number() OVER (ORDER BY view) - 1 AS position, count(*) OVER () AS n FROM review GROUP BY 1) SELECT view, CAST(position AS BIGINT) AS position FROM v WHERE status = 'unreviewed' ORDER BY (position - 6 + n) % n LIMIT 1")
 def next_unreviewed(spark, d):
-    from pyspark.sql import Window as W
-
-    r = review.current(reviews(spark, d)).select("view", "status").withColumn("position", (F.row_number().over(W.orderBy("view")) - 1).cast("long"))
+    r = numbered(review.current(reviews(spark, d)).select("view", "status"), [F.asc("view")], "n").withColumn("position", F.col("n") - 1)
     return review.next_unreviewed(r, 5).select("view", "position")
 
 
-@query()
+@query(f"WITH RECURSIVE {DET_SQL}, {GRID_SQL}, {AT_SQL} SELECT cell, count(*) AS detection_count, max(detected_at) AS last_scanned FROM att WHERE cell IS NOT NULL GROUP BY 1")
 def incremental_grid_counts(spark, d):
-    """The events as a stream in one run of available data; equals the batch count, which the tests check."""
+    """The events as a stream in one run of available data; equals the batch count."""
     rows = cut(detections(spark, d).select("lat", "lng", "detected_at"))
     stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rsplit("/", 1)[0])
     name = f"cells_{uuid.uuid4().hex}"

@@ -81,3 +81,14 @@ def detector_output(raw: DataFrame, column: str = "json") -> DataFrame:
 def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write a result that must not exist yet."""
     df.write.mode("errorifexists").format(kind).save(path)
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A sheet with a header that must not exist yet; arrays as words between blanks."""
+    arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
+    df.select(*[F.array_join(c, " ").alias(c) if c in arrays else F.col(c) for c in df.columns]).write.mode("errorifexists").csv(path, header=True)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as one line of JSON for each row that must not exist yet."""
+    df.write.mode("errorifexists").option("ignoreNullFields", False).json(path)

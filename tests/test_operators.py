@@ -360,7 +360,7 @@ def test_score_of_detections_without_area_never_passes_point_seven(spark):
     assert one(spark, hotspots.priority(F.lit(0.7)), hotspots.priority(F.lit(0.41)), hotspots.priority(F.lit(0.4)))[:] == ("medium", "medium", "low")
 
 
-def test_radius_join_and_nearest_equal_loops(spark, monkeypatch):
+def test_radius_join_and_nearest_equal_loops(spark):
     rnd = random.Random(5)
     a = [(i, 18.4 + rnd.random() * 0.3, 73.7 + rnd.random() * 0.35) for i in range(60)]
     b = [(i, 18.4 + rnd.random() * 0.3, 73.7 + rnd.random() * 0.35) for i in range(80)]
@@ -368,10 +368,8 @@ def test_radius_join_and_nearest_equal_loops(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in spatial.radius_join(x, y, 4000).collect()}
     assert got == {(i[0], j[0]) for i in a for j in b if hav(*i[1:], *j[1:]) <= 4000}
     want = {i[0]: round(min(hav(*i[1:], *j[1:]) for j in b)) for i in a}
-    for rows in (spatial.BROADCAST_ROWS, 10):
-        monkeypatch.setattr(spatial, "BROADCAST_ROWS", rows)
-        assert {r["a"]: r["nearest_m"] for r in spatial.nearest_distance(x, y, F.col("a")).collect()} == want
-    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10_000)
+    for reach in (50.0, 2000.0, 1e5):  # however many rings are searched
+        assert {r["a"]: r["nearest_m"] for r in spatial.nearest_distance(x, y, F.col("a"), reach).collect()} == want
     assert {r["nearest_m"] for r in spatial.nearest_distance(x, y.limit(0), F.col("a")).collect()} == {None}
 
 
