@@ -178,12 +178,16 @@ class Decoder:
 
 
 _MADE: dict = {}
+#: Encoders, decoders and transducers that a worker holds at once.
+KEPT_MADE = 3
 
 
 def _of(shared, kind, *sizes):
     """One encoder or decoder for each worker process and vocabulary."""
     key = (kind.__name__, shared.path, shared.id, *sizes)
     if key not in _MADE:
+        if len(_MADE) >= KEPT_MADE:  # other vocabularies or sizes have had their turn
+            _MADE.clear()
         _MADE[key] = kind(shared.value.value, *sizes)
     return _MADE[key]
 

@@ -7,6 +7,11 @@ part of it is trained on (an empty span at its end if none). So no conversation
 blocks of ``BLOCK`` turn numbers, then over block totals, and a conversation with a third of all rows spreads over its
 blocks. ``examples`` joins segments to whole texts where conversations are known to fit.
 
+Texts go in as they are: one that holds ``<|end|>`` or a role mark is not escaped, so read a rendering back by its
+offsets, not by its marks. Turns of one number (null too) are one block of the scan, which is sorted and may spill;
+a conversation that repeats one number in a third of all rows is one task's scan. The join to perspectives has one row
+a speaker on its small side, and adaptive execution splits its large one.
+
 Edge cases: a null text is empty; a null role is the participant ``unknown``; null turns come first; equal turns are
 ordered by role and text; rows repeated in full are all rendered; a null conv_id is a conversation of its own; one
 without participants gives no rows; an empty table gives an empty result; other columns are ignored.
