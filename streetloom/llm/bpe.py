@@ -189,6 +189,8 @@ def _of(shared, kind, *sizes):
         if len(_MADE) >= KEPT_MADE:  # other vocabularies or sizes have had their turn
             _MADE.clear()
         _MADE[key] = kind(shared.value.value, *sizes)
+        # what was made holds all it needs; the broadcast's own copy can be loaded again
+        vars(shared.value).pop("_value", None)
     return _MADE[key]
 
 

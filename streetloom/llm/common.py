@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..session import ship
 
 #: Bytes and rows of one Arrow batch: texts have no length limit, so bytes bound what a Python worker holds at once.
-ARROW_BYTES, ARROW_ROWS = 2 << 20, 10_000
+ARROW_BYTES, ARROW_ROWS = 1 << 19, 10_000
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

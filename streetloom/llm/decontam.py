@@ -113,19 +113,26 @@ def _blocks(bench: DataFrame, block_words: int):
 
 def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS, out: str = "hits") -> DataFrame:
     """``docs`` and a column ``out``: struct(n_words, words array<int> that are hit, items array<string>)."""
+    return _scanned(docs, bench, text, block_words, out)
+
+
+def _scanned(docs: DataFrame, bench: DataFrame, text: str, block_words: int, out: str, finish=None) -> DataFrame:
+    """``docs`` with the hits; ``finish(batch, hits)`` may make something else of a batch, in the same worker."""
     spark = docs.sparkSession
     arrow_batches(spark)
     kind = "n_words bigint, words array<int>, items array<string>"
     df = docs.withColumn(out, F.expr(f"cast(null as struct<{kind.replace(' bigint', ':bigint').replace(' array', ':array')}>)"))
     kinds = pa.struct([("n_words", pa.int64()), ("words", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    shared = None
-    for index in _blocks(bench, block_words):
+    indexes, shared = _blocks(bench, block_words), None
+    index = next(indexes)
+    while index is not None:
         if shared is not None:  # the hits of the block before are there before this one is sent out
             df = written(df, "decontamination")
             shared.unpersist()
-        shared = spark.sparkContext.broadcast(index)
+        shared, index = spark.sparkContext.broadcast(index), next(indexes, None)
+        done = finish if index is None else None
 
-        def scan(batches, shared=shared):
+        def scan(batches, shared=shared, done=done):
             index = shared.value
             for batch in batches:
                 made = []
@@ -134,9 +141,9 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", block_w
                     before = b.as_py() or {"words": [], "items": []}
                     made.append({"n_words": n, "words": sorted({*at.tolist(), *before["words"]}), "items": sorted({*items, *before["items"]})})
                 k = batch.schema.get_field_index(out)
-                yield batch.set_column(k, out, pa.array(made, kinds))
+                yield done(batch.drop_columns([out]), made) if done else batch.set_column(k, out, pa.array(made, kinds))
 
-        df = df.mapInArrow(scan, df.schema)
+        df = df.mapInArrow(scan, docs.schema if done else df.schema)
     return df
 
 
@@ -163,17 +170,13 @@ def _without(text: str, gone: set[int]) -> str:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", drop_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the hit spans; documents of which at least ``drop_share`` of the words is hit go altogether."""
-    hits = spare(docs, "_hits")
-    found = contamination(docs, bench, text, block_words, hits)
-    found = found.where((F.size(f"{hits}.words") == 0) | (F.size(f"{hits}.words") < F.col(f"{hits}.n_words") * drop_share))
-
-    def cut(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            new = [_without(t, set(h["words"])) if t and h["words"] else t for t, h in zip(batch.column(k).to_pylist(), batch.column(hits).to_pylist())]
-            yield batch.set_column(k, batch.schema.field(k), pa.array(new, pa.string())).drop_columns([hits])
+    def cut(batch, made):
+        k = batch.schema.get_field_index(text)
+        stays = [not h["words"] or len(h["words"]) < h["n_words"] * drop_share for h in made]
+        new = [_without(t, set(h["words"])) if t and h["words"] and ok else t for t, h, ok in zip(batch.column(k).to_pylist(), made, stays)]
+        return batch.set_column(k, batch.schema.field(k), pa.array(new, pa.string())).filter(pa.array(stays, pa.bool_()))
 
-    return found.mapInArrow(cut, docs.schema)
+    return _scanned(docs, bench, text, block_words, spare(docs, "_hits"), cut)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ MAX_STEM = 8
 #: Documents of the sample (equal texts once) that an entry or a phrase needs at least, and the log-odds of an entry.
 MIN_DOCS = 5
 #: Counts that a worker gathers before it hands them on.
-KEPT_COUNTS = 1_000_000
+KEPT_COUNTS = 200_000
 MIN_ODDS = 3.0
 
 # Look-alikes by the Latin letter they stand for.
