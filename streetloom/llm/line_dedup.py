@@ -16,6 +16,9 @@ never counted, matched or deleted.
 4. Deletion: a run goes where an equal one starts earlier (smaller doc_id, then earlier line); the first place stays.
    Runs of a document become disjoint spans before they are gathered, so long documents cost in proportion.
 
+Counting runs combines on the map side, however often one occurs. Looking the first place of a run up is a join on its
+hashes; a run that a large part of the rows share makes a skewed partition there, which adaptive execution splits.
+
 Line hashes have 64 bits for winnowing and 32 further ones in the comparison of runs.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null doc_id comes before all others; rows
