@@ -13,12 +13,17 @@ from .graph import one_to_one
 
 
 def pairs(preds: DataFrame, truths: DataFrame, least: float = 0.0) -> DataFrame:
-    """All (prediction, truth) pairs of an image that overlap by more than ``least``."""
+    """All (prediction, truth) pairs of an image that overlap by more than ``least`` (0 or more).
+
+    The join tests edges only. The overlap is made by a generator over the pairs that meet: its long expression is then
+    compiled once, where filters and columns on it would each repeat it and make a method too large to be optimised.
+    """
     t = truths.select("image", F.col("idx").alias("truth"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
     p = preds.withColumnRenamed("idx", "prediction")
-    x = p.join(t, "image")
+    meet = (F.col("x1") < F.col("t_x2")) & (F.col("t_x1") < F.col("x2")) & (F.col("y1") < F.col("t_y2")) & (F.col("t_y1") < F.col("y2"))
+    x = p.join(t, "image").where(meet)
     a, b = [F.col(c) for c in ("x1", "y1", "x2", "y2")], [F.col(f"t_{c}") for c in ("x1", "y1", "x2", "y2")]
-    return x.withColumn("iou", iou(a, b)).where(F.col("iou") > least)
+    return x.withColumn("iou", F.explode(F.array(iou(a, b)))).where(F.col("iou") > least)
 
 
 def match(preds: DataFrame, truths: DataFrame, threshold: float = MATCH_IOU) -> DataFrame:
