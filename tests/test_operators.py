@@ -393,6 +393,68 @@ def test_hamming_pairs_equal_a_loop(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_hamming_plans_lose_no_pair_and_give_each_once(spark, agree):
+    rnd = random.Random(16)
+    hs = [rnd.getrandbits(128) for _ in range(20)]
+    for _ in range(60):
+        h = rnd.choice(hs)
+        for _ in range(rnd.randint(0, 9)):
+            h ^= 1 << rnd.randrange(128)
+        hs.append(h)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(h & (2**64 - 1)), signed(h >> 64), f"s{i % 3}") for i, h in enumerate(hs)], "id long, p long, q long, split string")
+    want = {(i, j, (hs[i] ^ hs[j]).bit_count()) for i in range(80) for j in range(i + 1, 80) if (hs[i] ^ hs[j]).bit_count() <= 8}
+    got = [tuple(r) for r in dataset.hamming_pairs(df, 8, ["p", "q"], plan=(8 + agree, agree)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    apart = [tuple(r) for r in dataset.hamming_pairs(df, 8, ["p", "q"], apart="split", plan=(8 + agree, agree)).collect()]
+    assert set(apart) == {w for w in want if w[0] % 3 != w[1] % 3} and len(apart) == len(set(apart))
+    assert dataset.hamming_plan(10**9, 256, 12)[1] > 1 and dataset.hamming_plan(100, 256, 12)[1] == 1
+    assert dataset.hamming_pairs(df.limit(0), 8, ["p", "q"]).count() == 0
+
+
+def test_numbers_over_ranges(spark):
+    rnd = random.Random(17)
+    rows = [(rnd.randrange(50), i) for i in range(500)]
+    got = graph.numbered(spark.createDataFrame(rows, "a long, b long"), [F.desc("a"), F.asc("b")], "n").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["n"])] == sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert sorted(r["n"] for r in got) == list(range(1, 501))
+    assert graph.numbered(spark.createDataFrame([], "a long"), [F.asc("a")], "n").count() == 0
+
+
+def test_quality_flags_follow_the_rules_at_the_edges(spark):
+    images = spark.createDataFrame([("a", 100, 100, 100, 100, 1, "RGB"), ("b", 100, 100, 101, 100, 6, "L"), ("c", 100, 100, 100, 100, 1, "RGB")], "image string, width int, height int, real_width int, real_height int, orientation int, mode string")
+    boxes = spark.createDataFrame([("a", 0, -0.3, 5.0, 10.0, 10.0), ("a", 1, 90.0, 90.0, 10.4, 10.4), ("a", 2, 99.0, 5.0, 1.8, 1.0), ("b", 0, 5.0, 5.0, 9.0, 9.0), ("b", 1, 5.0, 5.0, 9.0, 9.1)], "image string, idx long, x double, y double, w double, h double")
+    got = {r["image"]: r["flags"] for r in dataset.quality_flags(boxes, images).collect()}
+    assert got == {
+        "a": ["box 0 outside or empty", "box 2 outside or empty", "box 2 under 2px"],
+        "b": ["size differs from annotation", "EXIF orientation 6", "mode L", "boxes 0 and 1 nearly equal"],
+        "c": ["no boxes"],
+    }
+
+
+def test_leases_follow_each_other(spark):
+    rnd = random.Random(18)
+    claims = sorted((f"k{rnd.randrange(3)}", rnd.randrange(400), f"o{i}") for i in range(300))
+    want, until = {}, {}
+    for key, at, owner in claims:
+        want[key, at, owner] = ok = at >= until.get(key, -1)
+        if ok:
+            until[key] = at + 25
+    got = store.leases(spark.createDataFrame(claims, "key string, at long, owner string"), 25)
+    assert {(r["key"], r["at"], r["owner"]): r["granted"] for r in got.collect()} == want
+
+
+def test_parity_clips_to_the_image_and_says_what_strict_would(spark):
+    box = "image string, idx long, confidence double, x1 double, y1 double, x2 double, y2 double"
+    left = spark.createDataFrame([("a", 0, 0.9, 0.1, 0.1, 0.6, 0.95), ("b", 0, 0.9, 0.1, 0.1, 0.2, 0.2)], box)
+    right = spark.createDataFrame([("a", 0, 0.9, 0.1, 0.1, 0.6, 0.99), ("c", 0, 0.9, 0.1, 0.1, 0.2, 0.2)], box)
+    bounds = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 0.9)], "image string, bx1 double, by1 double, bx2 double, by2 double")
+    got = {r["image"]: r for r in evaluate.parity(left, right, 640.0, bounds).collect()}
+    assert got["a"]["passed"] and not got["a"]["passed_strict"] and got["a"]["min_iou"] == 1.0
+    assert (got["b"]["min_iou"], got["b"]["max_corner_px"], got["b"]["unpaired"], got["b"]["passed"]) == (1.0, 0.0, 1, False)
+
+
 def test_split_keeps_groups_together_and_guards(spark):
     g = spark.createDataFrame([(f"g{i % 20}",) for i in range(100)], "group string")
     s = dataset.grouped_split(g).collect()
