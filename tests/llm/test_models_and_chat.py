@@ -340,7 +340,7 @@ def test_sql_agrees_on_the_small_tables(spark):
     if not os.path.isdir(sf):
         pytest.skip("no tables here")
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, sf)
