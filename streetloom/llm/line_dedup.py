@@ -16,8 +16,9 @@ never counted, matched or deleted.
 4. Deletion: a run goes where an equal one starts earlier (smaller doc_id, then earlier line); the first place stays.
    Runs of a document become disjoint spans before they are gathered, so long documents cost in proportion.
 
-Counting runs combines on the map side, however often one occurs. Looking the first place of a run up is a join on its
-hashes; a run that a large part of the rows share makes a skewed partition there, which adaptive execution splits.
+Counting anchors and runs combines on the map side, however often one occurs. Rows look up what was counted for their
+hash by a join; the hashes that very many rows share, of which there can be few only, are broadcast there, so that no
+task gets all the places of one passage.
 
 Line hashes have 64 bits for winnowing and 32 further ones in the comparison of runs.
 
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import documents, spare, written
 
 MIN_WORDS = 50
+#: A key is hot with more than this many rows and more than one in so many of all: there are at most ``HOT_KEYS`` of them.
+HOT_ROWS, HOT_KEYS = 1_000, 10_000
 #: White space inside a line, and scripts without blanks between words (Thai, Lao, Tibetan, Burmese, Khmer, New Tai Lue
 #: and Tai Tham, kana, Han), as insides of a Java character class.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,11 +105,20 @@ def winnowed(x: DataFrame, min_words: int) -> DataFrame:
     return x.select(*DOC, "pos", "h", "v", "n", F.when(~F.col("least").eqNullSafe(above), F.col("least")).alias("anchor"))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``table``, a written one with one row for each key and the number of rows that have it in
+    ``copies``. Hot keys, at most ``HOT_KEYS``, are broadcast; of the others none has many rows, and they are shuffled."""
+    total = table.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") > max(HOT_ROWS, total // HOT_KEYS)
+    often, rest = F.broadcast(table.where(hot)), table.where(~hot)
+    return rows.join(often, on).unionByName(rows.join(often.select(*on), on, "left_anti").join(rest, on))
+
+
 def recurring(x: DataFrame) -> DataFrame:
     """(nil, id, th, pos): the anchors whose hash is that of another anchor too."""
     anchors = x.where("anchor is not null").select(*DOC, "anchor.pos", "anchor.h")
-    often = anchors.groupBy("h").count().where("count > 1").select("h")
-    return anchors.join(often, "h", "left_semi").select(*DOC, "pos")
+    often = written(anchors.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1"), "line-recurring")
+    return looked_up(anchors, often, ["h"]).select(*DOC, "pos")
 
 
 def runs(x: DataFrame, anchors: DataFrame, min_words: int) -> DataFrame:
@@ -138,8 +150,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     x = written(winnowed(lines(docs), min_words), "line-anchors")
     found = written(runs(x, recurring(x), min_words), "line-runs")
     at = F.struct((~F.col("nil")).alias("has"), "id", "th", "a")
-    first = found.groupBy("fp", "w").agg(F.min(at).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = found.join(first, ["fp", "w"]).where(at > F.col("first")).groupBy(*DOC, "a").agg(F.max("b").alias("b"))
+    first = found.groupBy("fp", "w").agg(F.min(at).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    places = looked_up(found, written(first, "line-first"), ["fp", "w"])
+    later = places.where(at > F.col("first")).groupBy(*DOC, "a").agg(F.max("b").alias("b"))
     doc = W.partitionBy(*DOC).orderBy("a")
     upto = F.max("b").over(doc.rowsBetween(W.unboundedPreceding, -1))
     later = later.withColumn("starts", F.when(F.col("a") <= upto, 0).otherwise(1)).withColumn("span", F.sum("starts").over(doc))

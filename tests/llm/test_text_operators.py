@@ -148,7 +148,9 @@ def line_brute(docs, least):
     return gone
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [1_000, 2])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)  # with 2, hot and other keys both occur
     rnd = random.Random(5)
     pool = [f"line {i} " + " ".join(["w"] * rnd.randint(0, 6)) for i in range(12)] + ["", "  ", "x"]
     docs = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14))) for _ in range(60)] + [None, "", "\n", "same line\n" * 30]
