@@ -337,8 +337,8 @@ def street_scales(spark, d):
 
 @query("SELECT vec_id AS id, CAST(floor(var_pop(4 * m[r * 8 + c] - m[r * 8 + c - 8] - m[r * 8 + c + 8] - m[r * 8 + c - 1] - m[r * 8 + c + 1]) * 1e6 + 0.37::DOUBLE) AS BIGINT) AS sharpness_micro FROM (SELECT vec_id, [CAST(floor(x * 100) AS DOUBLE) for x in embedding] AS m FROM embeddings), range(1, 7) a(r), range(2, 8) b(c) GROUP BY 1")
 def sharpness(spark, d):
-    """The numbers of a vector as a small grey image."""
-    row = lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda v: F.floor(v.cast("double") * 100).cast("double"))
+    """The numbers of a vector as a small grey image; as in the SQL, single numbers are multiplied in single precision."""
+    row = lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda v: F.floor(v * F.lit(100.0).cast("float")).cast("double"))
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[row(i) for i in range(8)]).alias("pixels"))
     return derive.laplacian_variance(x).select("id", F.floor(F.col("sharpness") * 1e6 + 0.37).cast("long").alias("sharpness_micro"))
 

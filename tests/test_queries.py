@@ -50,6 +50,17 @@ def test_cross_view_nms_keeps_the_panoramas(spark):
     assert got == {r["image_id"] for r in detections(spark, SF).select("image_id").distinct().collect()}
 
 
+def test_sharpness_rounds_products_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    # the nearest single number to 0.29 lies below it; its product with 100 is 29 in single precision and less in double
+    rows = [(k, [0.29 if i % 7 == k else i / 100 for i in range(64)]) for k in range(7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = ORACLES["sharpness"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = {(r["id"], r["sharpness_micro"]) for r in QUERIES["sharpness"](spark, str(tmp_path)).collect()}
+    assert got == set(duckdb.sql(sql).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
