@@ -373,6 +373,16 @@ def test_radius_join_and_nearest_equal_loops(spark):
     assert {r["nearest_m"] for r in spatial.nearest_distance(x, y.limit(0), F.col("a")).collect()} == {None}
 
 
+def test_pairs_within_equal_a_loop_at_crowded_places(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MEMBERS", 7)  # several lists for a place
+    rnd = random.Random(25)
+    spots = [(18.5 + rnd.random() * 0.002, 73.8 + rnd.random() * 0.002) for _ in range(9)]
+    rows = [(f"r{i}", i, *(spots[0] if i % 2 else rnd.choice(spots))) for i in range(80)] + [("none", 99, None, 73.8)]
+    got = [(r["a"], r["b"], round(r["distance_m"], 6)) for r in spatial.pairs_within(spark.createDataFrame(rows, "id string, rank long, lat double, lng double"), 100).collect()]
+    want = {(a[0], b[0], round(hav(*a[2:], *b[2:]), 6)) for a in rows[:80] for b in rows[:80] if a[1] < b[1] and hav(*a[2:], *b[2:]) <= 100}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_search_box_is_clamped():
     w, s, e, n = geo.search_box(18.41, 74.04, 5000)
     assert s == 18.40 and e == 74.05 and w < 74.04 and n > 18.41
