@@ -98,27 +98,61 @@ def live_entries(log: DataFrame, now: int) -> DataFrame:
 
 def leases(claims: DataFrame, ttl: int) -> DataFrame:
     """``claims(key, at, owner)``, whole numbers as times, and ``granted``: in order of time (then owner) a claim is
-    granted if the last granted one has run out, that is, started ``ttl`` before.
+    granted if the last granted one has run out, that is, started ``ttl`` before. Claims without a key or a time are not.
 
-    The claim after each possible lease comes from one ordered pass; which leases follow from the first of each key is found by
-    doubling jumps, so rounds grow with the logarithm of their number.
+    Claims are dealt by ranges of key and time. Of each range it is worked out where the leases end for every time at which
+    the one before it can end, which is in the first ``ttl`` of it; these are chained for each key, and every range is gone
+    through once from where its first lease can start. Claims are moved three times, however many leases there are.
     """
+    import numpy as np
+    import pyarrow as pa
+
     from .graph import cut
 
-    me = F.struct("key", "at", "owner")
-    c = claims.select("key", "at", "owner").distinct().withColumn("me", me)
-    # from the last time back: the earliest claim so far is the first at or after a lease's end
-    both = c.select("key", F.col("at").alias("t"), F.lit(0).alias("ends"), F.col("me").alias("claim"), F.lit(None).cast(c.schema["me"].dataType).alias("n"))
-    both = both.unionByName(c.select("key", (F.col("at") + ttl).alias("t"), F.lit(1).alias("ends"), F.lit(None).cast(c.schema["me"].dataType).alias("claim"), F.col("me").alias("n")))
-    back = W.partitionBy("key").orderBy(F.desc("t"), "ends").rowsBetween(W.unboundedPreceding, 0)
-    jumps = cut(both.withColumn("to", F.min("claim").over(back)).where("ends = 1").select("n", "to"))
-    got = cut(jumps.groupBy("n.key").agg(F.min("n").alias("n")).select("n"))
-    while True:
-        new = cut(got.join(jumps, "n").where("to is not null").select(F.col("to").alias("n")).join(got, "n", "left_anti").distinct())
-        if not new.limit(1).count():
-            break
-        got = cut(got.unionByName(new))
-        there = jumps.select(F.col("n").alias("to"), F.col("to").alias("beyond"))
-        jumps = cut(jumps.join(there, "to").where("beyond is not null").select("n", F.col("beyond").alias("to")))
-    granted = got.select(F.col("n.key").alias("key"), F.col("n.at").alias("at"), F.col("n.owner").alias("owner"), F.lit(True).alias("_g"))
-    return claims.select("key", "at", "owner").join(granted, ["key", "at", "owner"], "left").select("key", "at", "owner", F.coalesce("_g", F.lit(False)).alias("granted"))
+    c = claims.select("key", "at", "owner")
+    if ttl <= 0:
+        return c.withColumn("granted", F.col("key").isNotNull() & F.col("at").isNotNull())
+    x = cut(c.repartitionByRange("key", "at", "owner").withColumn("_part", F.spark_partition_id()))
+    kind = x.schema["key"].dataType.simpleString()
+
+    def ends(t: pa.Table) -> pa.Table:
+        """Where the last lease of a range ends, for leases before it that end after the time before and by that time."""
+        at = np.unique(t["at"].cast(pa.int64()).drop_null().to_numpy())
+        if not len(at):
+            return t.select(["key", "_part"]).slice(0, 0).append_column("by", pa.array([], pa.list_(pa.int64()))).append_column("ends", pa.array([], pa.list_(pa.int64())))
+        after = np.searchsorted(at, at + ttl)
+        now = np.arange(min(np.searchsorted(at, at[0] + ttl) + 1, len(at)))
+        by = at[now]
+        while True:
+            further = after[now]
+            on = further < len(at)
+            if not on.any():
+                break
+            now = np.where(on, further, now)
+        last = at[now] + ttl
+        keep = np.append(last[1:] != last[:-1], True)  # those that end alike are one
+        return t.select(["key", "_part"]).slice(0, 1).append_column("by", pa.array([by[keep]], pa.list_(pa.int64()))).append_column("ends", pa.array([last[keep]], pa.list_(pa.int64())))
+
+    def chain(t: pa.Table) -> pa.Table:
+        t, until, free = t.sort_by("_part"), np.iinfo(np.int64).min, []
+        for by, last in zip(t["by"], t["ends"]):
+            free.append(until)
+            by, last = by.values.to_numpy(), last.values.to_numpy()
+            i = np.searchsorted(by, until)
+            until = int(last[i]) if i < len(by) else until
+        return t.select(["key", "_part"]).append_column("until", pa.array(free, pa.int64()))
+
+    def grant(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("at", "ascending"), ("owner", "ascending")])
+        at, got = t["at"].cast(pa.int64()).drop_null().to_numpy(), np.zeros(len(t), bool)  # nulls are last
+        until = t["until"][0].as_py()
+        i = len(at) if until is None else int(np.searchsorted(at, until))
+        while i < len(at):
+            got[i] = True
+            i = int(np.searchsorted(at, at[i] + ttl))
+        return t.select(["key", "at", "owner"]).append_column("granted", pa.array(got))
+
+    parts = x.where("key is not null").select("key", "_part", "at").groupBy("key", "_part").applyInArrow(ends, f"key {kind}, _part int, by array<bigint>, ends array<bigint>")
+    starts = parts.groupBy("key").applyInArrow(chain, f"key {kind}, _part int, until bigint")  # a row for each key of a range
+    out = x.join(starts, ["key", "_part"], "left")
+    return out.groupBy("key", "_part").applyInArrow(grant, f"key {kind}, at {x.schema['at'].dataType.simpleString()}, owner {x.schema['owner'].dataType.simpleString()}, granted boolean")

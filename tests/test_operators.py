@@ -455,6 +455,29 @@ def test_leases_follow_each_other(spark):
     assert {(r["key"], r["at"], r["owner"]): r["granted"] for r in got.collect()} == want
 
 
+def test_leases_move_claims_three_times(spark):
+    rnd = random.Random(19)
+    claims = sorted((f"k{i % 3}", rnd.randrange(30_000), f"o{i}") for i in range(4_000))
+    claims += [claims[-1], (None, 1, "o"), ("k9", None, "o"), ("k9", 5, None)]
+    df = spark.createDataFrame(claims, "key string, at long, owner string").repartition(5)
+    for ttl, conf in ((7, "4"), (700, "40"), (50_000, "9"), (0, "4")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+        try:
+            got = store.leases(df, ttl)
+            assert got._jdf.queryExecution().analyzed().toString().count("Join") <= 1
+            got = sorted((r for r in map(tuple, got.collect())), key=str)
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        want, until = [(None, 1, "o", False), ("k9", None, "o", False), ("k9", 5, None, True)], {}
+        for key, at, owner in sorted(claims[:-3]):
+            ok = at >= until.get(key, -1)
+            until[key] = at + ttl if ok else until[key]
+            want.append((key, at, owner, ok))
+        assert got == sorted(want, key=str), ttl
+
+
 def test_parity_clips_to_the_image_and_says_what_strict_would(spark):
     box = "image string, idx long, confidence double, x1 double, y1 double, x2 double, y2 double"
     left = spark.createDataFrame([("a", 0, 0.9, 0.1, 0.1, 0.6, 0.95), ("b", 0, 0.9, 0.1, 0.1, 0.2, 0.2)], box)
