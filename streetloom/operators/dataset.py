@@ -146,19 +146,82 @@ def hamming_plan(rows: int, bits: int, distance: int) -> tuple[int, int]:
     return distance + agree, agree
 
 
-def hamming_pairs(rows: DataFrame, distance: int, words: list[str], apart: str | None = None, plan: tuple[int, int] | None = None) -> DataFrame:
+#: Rows of a block whose hashes are compared with all of another block.
+BLOCK = 20_000
+
+
+def hamming_all(rows: DataFrame, count: int, distance: int, words: list[str], apart: str | None = None) -> DataFrame:
+    """What ``hamming_pairs`` gives with ``sides``, from all pairs of rows: blocks of about ``BLOCK`` of the ``count`` rows are compared
+    with each other, one hash with a block at a time. A worker holds two blocks; results leave it piecemeal."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .batches import in_groups
+
+    n = -(-count // BLOCK) or 1
+    k, m = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.col("other")
+    x = rows.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in ("id", *words, *([apart] if apart else []))]))
+    x = x.select("id", *words, *([F.col(apart).alias("apart")] if apart else []), k).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    x = x.withColumns({"i": F.least("block", m).cast("int"), "j": F.greatest("block", m).cast("int")}).drop("other")
+    keep = ["id", *(["apart"] if apart else [])]
+
+    def compare(t: pa.Table, starts: np.ndarray):  # noqa: ANN202
+        hashes = [t[w].to_numpy().view(np.uint64) for w in words]
+        side = t["apart"].combine_chunks().dictionary_encode().indices.to_numpy() if apart else None
+        block, ids = t["block"].to_numpy(), t.select(keep)
+
+        def found(a: list, b: list, d: list) -> pa.Table:
+            a, b = ids.take(pa.array(np.concatenate(a))), ids.take(pa.array(np.concatenate(b)))
+            return pa.table([*a.columns, *b.columns, pa.array(np.concatenate(d).astype(np.int32))], names=[f"a_{c}" for c in keep] + [f"b_{c}" for c in keep] + ["distance"])
+
+        for lo, hi in zip(starts, [*starts[1:], len(t)]):
+            two = int(np.searchsorted(block[lo:hi], block[hi - 1])) + lo  # the second block, or the only one
+            a, b, d, held = [], [], [], 0
+            for r in range(lo, two if two > lo else hi):
+                first = max(two, r + 1) if two == lo else two
+                bits = sum(np.bitwise_count(h[first:hi] ^ h[r]).astype(np.uint16) for h in hashes) if len(hashes) > 3 else sum(np.bitwise_count(h[first:hi] ^ h[r]) for h in hashes)
+                at = np.flatnonzero(bits <= distance)
+                if len(at) and side is not None:
+                    at = at[side[first + at] != side[r]]
+                if len(at):
+                    a.append(np.full(len(at), r))
+                    b.append(first + at)
+                    d.append(bits[at])
+                    held += len(at)
+                if held > 100_000:
+                    yield found(a, b, d)
+                    a, b, d, held = [], [], [], 0
+            if held:
+                yield found(a, b, d)
+
+    kinds = [(c, x.schema[c].dataType.simpleString()) for c in keep]
+    got = in_groups(x, ["i", "j"], [F.asc("block")], compare, ", ".join([f"{s}_{c} {kind}" for s in "ab" for c, kind in kinds] + ["distance int"]), min(n * (n + 1) // 2, 2_000))
+    up = F.col("a_id") < F.col("b_id")
+    out = [F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "distance"]
+    if apart:
+        out += [F.when(up, F.col("a_apart")).otherwise(F.col("b_apart")).alias("apart_a"), F.when(up, F.col("b_apart")).otherwise(F.col("a_apart")).alias("apart_b")]
+    return got.where("a_id <> b_id").select(*out)
+
+
+def hamming_pairs(rows: DataFrame, distance: int, words: list[str], apart: str | None = None, plan: tuple[int, int] | None = None, sides: bool = False) -> DataFrame:
     """(a, b, distance): all pairs of ids whose hashes (given as longs of 64 bits) differ in at most ``distance`` bits;
-    with ``apart``, only pairs that differ in this column (batch or split).
+    with ``apart``, only pairs that differ in this column (batch or split), and with ``sides`` its values as ``apart_a`` and ``apart_b``.
 
     The bits are cut into blocks: by the pigeonhole principle two rows within the distance share at least ``agree`` of
     ``distance + agree`` blocks, so rows are joined on choices of that many blocks, and the popcount verifies. A pair is
     given under its first common choice, which is worked out from the hashes. ``hamming_plan`` chooses how many: wide
-    keys where rows are many, few where they are few. A distance that is a large part of the bits has no good choice.
+    keys where rows are many, few where they are few. A distance that is a large part of the bits has no good choice: if
+    a hundredth of all pairs or more would be candidates, all pairs are compared, which takes less (``hamming_all``).
     """
     from itertools import combinations
+    from math import comb
 
     bits = 64 * len(words)
-    blocks, agree = plan or hamming_plan(rows.count(), bits, distance)
+    count = 0 if plan else rows.count()
+    blocks, agree = plan or hamming_plan(count, bits, distance)
+    if not plan and 100 * comb(blocks, agree) >= 2 ** (bits * agree / blocks):
+        x = hamming_all(rows, count, distance, words, apart)
+        return x if sides else x.select("a", "b", "distance")
     cuts = [round(bits * i / blocks) for i in range(blocks + 1)]
 
     def block(i: int) -> list[tuple[str, int]]:
@@ -191,7 +254,8 @@ def hamming_pairs(rows: DataFrame, distance: int, words: list[str], apart: str |
     if apart:
         meet = meet & (F.col(f"a.{apart}") != F.col(f"b.{apart}"))
     x = a.join(b, meet).where(d <= distance).where(number == F.col("a.slot"))
-    return x.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance"))
+    more = [F.col(f"{s}.{apart}").alias(f"apart_{s}") for s in "ab"] if sides else []
+    return x.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance"), *more)
 
 
 def quality_flags(boxes: DataFrame, images: DataFrame) -> DataFrame:

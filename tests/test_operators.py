@@ -423,6 +423,23 @@ def test_hamming_plans_lose_no_pair_and_give_each_once(spark, agree):
     assert dataset.hamming_pairs(df.limit(0), 8, ["p", "q"]).count() == 0
 
 
+def test_far_hamming_pairs_compare_blocks(spark, monkeypatch):
+    """Within 18 of 64 bits buckets would meet pairs more than once; blocks meet each once."""
+    monkeypatch.setattr(dataset, "BLOCK", 40)
+    rnd = random.Random(26)
+    hs = [rnd.getrandbits(64) for _ in range(60)]
+    hs += [hs[0]] * 30 + [h ^ rnd.getrandbits(64) & rnd.getrandbits(64) & rnd.getrandbits(64) for h in hs]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(h), f"s{i % 3}") for i, h in enumerate(hs)] + [(999, None, "s1")], "id long, w long, split string")
+    want = {(i, j, (hs[i] ^ hs[j]).bit_count()) for i in range(150) for j in range(i + 1, 150) if (hs[i] ^ hs[j]).bit_count() <= 18}
+    x = dataset.hamming_pairs(df, 18, ["w"])
+    got = [tuple(r) for r in x.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    assert "Join" not in x._jdf.queryExecution().analyzed().toString()
+    apart = [tuple(r) for r in dataset.hamming_pairs(df, 18, ["w"], apart="split", sides=True).collect()]
+    assert set(apart) == {(*w, f"s{w[0] % 3}", f"s{w[1] % 3}") for w in want if w[0] % 3 != w[1] % 3} and len(apart) == len(set(apart))
+
+
 def test_numbers_over_ranges(spark):
     rnd = random.Random(17)
     rows = [(rnd.randrange(50), i) for i in range(500)]
