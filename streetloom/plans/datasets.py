@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dataset, derive, diagnose
+from ..operators.graph import cut
 from ..sources import files
 from ..sources.fixtures import DET_SQL, PANO_SQL, detections, panoramas, table
 from .base import leaders_sql, query
@@ -58,10 +59,8 @@ def hamming_cross_group(spark, d):
 @query(f"WITH {_HASH_SQL} SELECT a.id AS a, b.id AS b, a.split || '/' || b.split AS splits, CAST(bit_count(xor(a.w, b.w)) AS INT) AS distance FROM h a JOIN h b ON a.id < b.id AND a.split <> b.split WHERE bit_count(xor(a.w, b.w)) <= 18")
 def hamming_cross_split(spark, d):
     """Pairs of different splits only: possible leaks, the nearest first."""
-    h = _hashes(spark, d)
-    x = dataset.hamming_pairs(h, 18, ["w"], apart="split")
-    x = x.join(h.select(F.col("id").alias("a"), F.col("split").alias("sa")), "a").join(h.select(F.col("id").alias("b"), F.col("split").alias("sb")), "b")
-    return x.select("a", "b", F.concat_ws("/", "sa", "sb").alias("splits"), "distance").orderBy("distance", "a", "b")
+    x = cut(dataset.hamming_pairs(_hashes(spark, d), 18, ["w"], apart="split", sides=True))  # the order reads it twice
+    return x.select("a", "b", F.concat_ws("/", "apart_a", "apart_b").alias("splits"), "distance").orderBy("distance", "a", "b")
 
 
 @query(
