@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.boxes import area_pct, unletterbox
 from ..functions.sphere import AXES, HALF_FOV_DEG, MIN_DEPTH, PERIMETER
 from ..schema import CROSS_VIEW_IOU, TILE_COVER, TILE_EDGE, TILE_IOU, VIEWS
-from ..session import ship
 from .analytics import severity_with_area
+from .batches import in_groups
 
 
 def confident(df: DataFrame, threshold: float) -> DataFrame:
@@ -62,24 +63,89 @@ def tile_nms(df: DataFrame, by: list[str]) -> DataFrame:
     """Greedy suppression inside each group: uncut boxes first, then by falling confidence (then id); a box goes if it
     overlaps a kept one by half, or if four fifths of the smaller of the two are common."""
 
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cut", "confidence", "id"], ascending=[True, False, True])
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        area = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
-        free, keep = np.ones(len(b), bool), []
-        for i in range(len(b)):
-            if not free[i]:
-                continue
-            keep.append(i)
-            r = b[i + 1 :]  # what comes later and is too close goes
-            inter = np.maximum(0, np.minimum(r[:, 2], b[i, 2]) - np.maximum(r[:, 0], b[i, 0])) * np.maximum(0, np.minimum(r[:, 3], b[i, 3]) - np.maximum(r[:, 1], b[i, 1]))
-            union, small = area[i + 1 :] + area[i] - inter, np.minimum(area[i + 1 :], area[i])
-            free[i + 1 :] &= ~((union > 0) & (inter / np.where(union > 0, union, 1) >= TILE_IOU) | (small > 0) & (inter / np.where(small > 0, small, 1) >= TILE_COVER))
-        return pdf.iloc[keep]
-
-    ship(df.sparkSession)
+    def over(x: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        inter, a, b = _common(x[i], x[j]), _area(x[i]), _area(x[j])
+        union, small = b + a - inter, np.minimum(a, b)
+        return (union > 0) & (inter / np.where(union > 0, union, 1) >= TILE_IOU) | (small > 0) & (inter / np.where(small > 0, small, 1) >= TILE_COVER)
+
+    def suppress(t: pa.Table, starts: np.ndarray):  # noqa: ANN202
+        yield t.filter(pa.array(_first_come(_corners(t), np.zeros(len(t), int), starts, lambda x, at: x, over)))
+
     x = df.select(*by, "id", "confidence", "cut", "x1", "y1", "x2", "y2")
-    return x.groupBy(*by).applyInPandas(suppress, x.schema)
+    order = [F.asc_nulls_last("cut"), F.when(~F.isnan("confidence"), F.col("confidence")).desc_nulls_last(), F.asc_nulls_last("id")]
+    return in_groups(x, by, order, suppress, _ddl(x))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+
+
+def _corners(t: pa.Table) -> np.ndarray:
+    return np.stack([t[c].cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+
+
+def _area(r: np.ndarray) -> np.ndarray:
+    return np.maximum(0, r[..., 2] - r[..., 0]) * np.maximum(0, r[..., 3] - r[..., 1])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0])) * np.maximum(0, np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]))
+
+
+#: Pairs of boxes that are held at once.
+PAIRS = 500_000
+
+
+def _first_come(boxes: np.ndarray, kind: np.ndarray, starts: np.ndarray, prepare, over) -> np.ndarray:  # noqa: ANN001
+    """Which rows stay of groups that begin at ``starts``, each in its order: a row goes if a row that stays, earlier in its
+    group, is ``over`` it. ``over(prepare(boxes, kind), kind, i, j)`` says of pairs whether i is over j.
+
+    Equal boxes of one ``kind`` in a group are one class, compared once: what its first row is over goes when that row
+    stays, and once a row of it goes, all later ones do. So a class has one time from which its rows go, and groups that
+    grow by copies take no more comparisons. Classes that have gone before their first row are over nothing.
+    """
+    n = len(boxes)
+    if not n:
+        return np.zeros(0, bool)
+    group = np.zeros(n, np.int64)
+    group[starts] = 1
+    group = np.cumsum(group) - 1
+    keys = np.column_stack([np.ascontiguousarray(boxes).view(np.int64), kind, group])
+    by = np.lexsort((np.arange(n), *keys.T[:-1], keys[:, -1]))
+    new = np.ones(n, bool)
+    new[1:] = (keys[by][1:] != keys[by][:-1]).any(1)
+    of = np.empty(n, np.int64)
+    of[by] = np.cumsum(new) - 1
+    # classes in the order of their first rows
+    first = by[new]
+    rank = np.argsort(first)
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    first, of = first[rank], place[of]
+    b, k, g = boxes[first], kind[first], group[first]
+    begin = np.searchsorted(g, np.arange(len(starts)))
+    size = np.append(begin[1:], len(g)) - begin
+    many = np.bincount(of, minlength=len(first)) > 1
+    made = prepare(b, k)
+    gone = np.full(len(first), n, np.int64)
+    lo = 0
+    each, base = size[g], begin[g]
+    upto = np.cumsum(each)
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+        i = np.arange(lo, hi)[gone[lo:hi] > first[lo:hi]]  # the others have gone already
+        m = each[i]
+        j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(base[i], m)
+        i = np.repeat(i, m)
+        later = (j > i) | many[j]  # a class of one row is only met by earlier ones
+        i, j = i[later], j[later]
+        hit = over(made, k, i, j)
+        for p, q in zip(i[hit].tolist(), j[hit].tolist()):
+            if gone[p] > first[p] and gone[q] > first[p]:
+                # its own first row is not over itself, only over what comes later
+                gone[q] = first[p] if p != q else first[p] + 1
+        lo = hi
+    return np.arange(n) < gone[of]
 
 
 def _seen_from_all(view: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,34 +172,30 @@ def cross_view_nms(df: DataFrame, by: str = "image_id") -> DataFrame:
     """Greedy suppression over the views of a panorama: by falling confidence (then id), a box goes if a kept box of
     another view, seen from its own, overlaps it by ``CROSS_VIEW_IOU``.
 
-    One ordered pass for each panorama: a kept box is seen once in each other view and held against that view's later
-    boxes, so memory grows with the boxes of a panorama and not with their pairs. Boxes without a confidence or of no
-    known view neither suppress nor go.
+    Equal boxes of a view are compared once for each panorama (``_first_come``), and a box is seen once in each other view.
+    Memory grows with the boxes of a panorama and not with their pairs. Boxes without a confidence or of no known view
+    neither suppress nor go.
     """
 
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
-        b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        view = pdf["view_id"].map({v: i for i, v in enumerate(VIEWS)}).where(pdf["confidence"].notna()).fillna(-1).to_numpy(int)
+    def prepare(b: np.ndarray, view: np.ndarray) -> tuple:
         seen = _seen_from_all(view, b)
-        area = lambda r: np.maximum(0, r[..., 2] - r[..., 0]) * np.maximum(0, r[..., 3] - r[..., 1])
-        mine = [np.flatnonzero(view == v) for v in range(len(VIEWS))]
-        boxes, areas = [b[m] for m in mine], [area(b[m]) for m in mine]
-        free, sizes = np.ones(len(b), bool), area(seen)
-        for i in range(len(b)):
-            if view[i] < 0 or not free[i]:
-                continue
-            for v in range(len(VIEWS)):
-                s = seen[i, v]
-                if v == view[i] or not sizes[i, v] > 0:
-                    continue
-                k = np.searchsorted(mine[v], i)  # what comes later
-                r = boxes[v][k:]
-                inter = np.maximum(0, np.minimum(r[:, 2], s[2]) - np.maximum(r[:, 0], s[0])) * np.maximum(0, np.minimum(r[:, 3], s[3]) - np.maximum(r[:, 1], s[1]))
-                free[mine[v][k:][inter / (areas[v][k:] + sizes[i, v] - inter) >= CROSS_VIEW_IOU]] = False
-        return pdf.loc[free, [by, "id"]]
-
-    ship(df.sparkSession)
-    x = df.select(by, "id", "view_id", "confidence", "x1", "y1", "x2", "y2")
-    kept = x.groupBy(by).applyInPandas(suppress, x.select(by, "id").schema)
-    return df.join(kept, [by, "id"], "left_semi")
+        return b, _area(b), seen, _area(seen)
+
+    def over(x: tuple, view: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        b, areas, seen, sizes = x
+        out = np.zeros(len(i), bool)
+        at = np.flatnonzero((view[i] != view[j]) & (view[i] >= 0) & (view[j] >= 0))
+        i, j = i[at], j[at]
+        s, of = seen[i, view[j]], sizes[i, view[j]]
+        at, s, of, j = (v[of > 0] for v in (at, s, of, j))
+        inter = _common(b[j], s)
+        out[at] = inter / (areas[j] + of - inter) >= CROSS_VIEW_IOU
+        return out
+
+    def suppress(t: pa.Table, starts: np.ndarray):  # noqa: ANN202
+        view = pc.index_in(t["view_id"], pa.array(VIEWS)).fill_null(-1).to_numpy().astype(np.int64)
+        sure = ~np.isnan(t["confidence"].cast(pa.float64()).to_numpy())
+        yield t.filter(pa.array(_first_come(_corners(t), np.where(sure, view, -1), starts, prepare, over)))
+
+    order = [F.when(~F.isnan("confidence"), F.col("confidence")).desc_nulls_last(), F.asc_nulls_last("id")]
+    return in_groups(df, [by], order, suppress, _ddl(df))

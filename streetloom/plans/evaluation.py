@@ -135,7 +135,8 @@ def cross_view_sql(boxes: str, p: str = "") -> str:
 @query(f"WITH RECURSIVE {DET_SQL}, {VIEWS_SQL}, {cross_view_sql('det')} SELECT image_id, id, view_id FROM kept")
 def cross_view_nms(spark, d):
     """Greedy suppression over the views of each panorama."""
-    return detect.cross_view_nms(detections(spark, d)).select("image_id", "id", "view_id")
+    x = detections(spark, d).select("image_id", "id", "view_id", "confidence", *CORNERS)
+    return detect.cross_view_nms(x).select("image_id", "id", "view_id")
 
 
 #: Rows of a detector in the pixels of its padded input, a few of them of another class, as image shares.

@@ -213,6 +213,44 @@ def test_cross_view_nms_stands_a_large_panorama(spark):
     assert "x" in out and "y" not in out and len(out) > 1000
 
 
+@pytest.mark.parametrize("pairs", [60, 500_000])
+def test_suppression_of_many_copies_equals_a_loop(spark, monkeypatch, pairs):
+    """Copies of a box are held against the others once; groups come many at a time."""
+    monkeypatch.setattr(detect, "PAIRS", pairs)
+    rnd = random.Random(27)
+    some = random_boxes(rnd, 40, 1, ("front", "right", "left", "up"), 0.5)
+    edge = (0.9, 0.4, 1.0, 0.6)
+    some += [("g", "e", "front", 0.9, False, *edge), ("g", "s", "right", 0.8, False, *reproject(edge, "front", "right")), ("g", "z", "up", 0.5, False, 0.3, 0.3, 0.3, 0.5)]
+    rows = [(f"g{rnd.randrange(7)}", f"{i:04d}", b[2], rnd.randint(1, 9) / 10, rnd.random() < 0.4, *b[5:]) for i, b in enumerate(rnd.choice(some) for _ in range(900))]
+    df = spark.createDataFrame(rows, BOXES)
+    met = []
+    boxes = detect.np.array([r[5:] for r in rows])
+    one = detect.np.array([0])
+    detect._first_come(boxes, detect.np.zeros(len(rows), int), one, lambda x, k: x, lambda x, k, i, j: met.append(len(i)) or detect.np.zeros(len(i), bool))
+    assert sum(met) <= 43 * 43
+    seen = {(b[5:], s, t): reproject(b[5:], s, t) for b in some for s in ("front", "right", "left", "up") for t in ("front", "right", "left", "up") if s != t}
+    for name, order, hits in (
+        ("cross", lambda r: (-r[3], r[1]), lambda k, r: k[2] != r[2] and (s := seen[k[5:], k[2], r[2]]) is not None and s[2] > s[0] and s[3] > s[1] and iou(s, r[5:]) >= 0.45),
+        ("tile", lambda r: (r[4], -r[3], r[1]), lambda k, r: tiled(k, r)),
+    ):
+        want = set()
+        for g in {r[0] for r in rows}:
+            kept = []
+            for r in sorted((r for r in rows if r[0] == g), key=order):
+                if not any(hits(k, r) for k in kept):
+                    kept.append(r)
+            want |= {r[1] for r in kept}
+        got = detect.cross_view_nms(df) if name == "cross" else detect.tile_nms(df, ["image_id"])
+        got = [r["id"] for r in got.collect()]
+        assert set(got) == want and len(got) == len(want) < len(rows), name
+
+
+def tiled(k, r):
+    i = max(0, min(r[7], k[7]) - max(r[5], k[5])) * max(0, min(r[8], k[8]) - max(r[6], k[6]))
+    a, b = (r[7] - r[5]) * (r[8] - r[6]), (k[7] - k[5]) * (k[8] - k[6])
+    return a > 0 and b > 0 and (i / (a + b - i) >= 0.5 or i / min(a, b) >= 0.8)
+
+
 # matching and evaluation
 
 
