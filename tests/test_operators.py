@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -445,6 +446,16 @@ def test_pairs_within_equal_a_loop_at_crowded_places(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_pairs_within_holds_the_pairs_of_one_row_only(spark):
+    rows = [(f"r{i}", i, 18.5, 73.8) for i in range(40)]
+    x = spatial.pairs_within(spark.createDataFrame(rows, "id string, rank long, lat double, lng double"), 100).select("a", "b", "distance_m")
+    assert len(x.collect()) == 780
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    # lines of one number n, marked *(n), are one generated loop, which keeps copies of all rows that it makes of one input row
+    loops = re.findall(r"\*\((\d+)\) Generate ", plan)
+    assert loops and len(loops) == len(set(loops))
+
+
 def test_search_box_is_clamped():
     w, s, e, n = geo.search_box(18.41, 74.04, 5000)
     assert s == 18.40 and e == 74.05 and w < 74.04 and n > 18.41
